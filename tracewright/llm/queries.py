@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import leaks, pieces, spans, textform, tokens
+from tracewright.llm import leaks, lines, pieces, spans, textform, tokens
 from tracewright.session import table
 
 
@@ -28,6 +28,22 @@ def p2_filings(spark: SparkSession, d: str) -> DataFrame:
     return pieces.filings(table(spark, d, "manifests"), table(spark, d, "documents"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lines.found(table(spark, d, "documents"))
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return lines.clean(table(spark, d, "documents"))
+
+
+def p4_clean_near(spark: SparkSession, d: str) -> DataFrame:
+    return lines.clean(table(spark, d, "documents"), near=True)
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return lines.report(table(spark, d, "documents"), table(spark, d, "manifests"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -59,7 +75,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_shares, p2_found, p2_pieces, p2_filings, p6_ids, p6_counts,
+        p1_found, p1_shares, p2_found, p2_pieces, p2_filings, p4_found, p4_clean, p4_clean_near, p4_report, p6_ids, p6_counts,
         p7_found, p7_spans, p7_items, p8_found, p8_forms,
     )
 }
