@@ -32,3 +32,7 @@ def squeeze_sql(c: str) -> str:
 
 def compared_sql(c: str) -> str:
     return f"lower({squeeze_sql(c)})"
+
+
+def clean_id_sql(c: str) -> str:
+    return f"nullif(upper(regexp_replace({c}, '^{WS_CLASS}+|{WS_CLASS}+$', '', 'g')), '')"

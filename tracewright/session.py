@@ -1,9 +1,11 @@
-"""Session helpers: building a local session, loading tables, cutting lineage."""
+"""Session helpers: building a local session, loading tables, cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +34,51 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`, which a cluster sets to a place all executors share.
+
+    Only where it is unset (tests, one machine) a temporary folder is taken.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
+        folder = sc.getCheckpointDir()
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from there.
+    """Checkpoint `df` in the shared folder and go on from there; Spark cleans the files up with the data frame."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+_written: list[tuple[SparkSession, str]] = []
 
-    The folder is the session's `spark.checkpoint.dir`, which a cluster sets to
-    a place all executors share. Only where it is unset (tests, one machine) a
-    temporary folder is taken.
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back.
+
+    Unlike a checkpoint it is compressed and read by column, for what is large
+    or read several times. The files go when the Python process ends, or by
+    `clear_stored`.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored() -> None:
+    """Delete the tables `stored` has written; data frames made from them can no longer be read."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended before
+            return
+
+
+atexit.register(clear_stored)
