@@ -19,7 +19,7 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(file, text) of every .txt file of a folder; bytes that are no UTF-8 become U+FFFD."""
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", F.lit("UTF-8")).alias("text"))
+        .select(F.element_at(F.split("path", "/"), -1).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     )
 
 
