@@ -1,5 +1,6 @@
 """Operators of the core against brute force and on hand-made fixtures."""
 
+import json
 import random
 from datetime import date
 from difflib import SequenceMatcher
@@ -11,7 +12,7 @@ from tracewright.functions import records
 from tracewright.functions import text as T
 from tracewright.operators import claims, extract, panel, passages, verify
 from tracewright.operators.bands import band_pairs
-from tracewright.sources import corpus
+from tracewright.sources import corpus, filed
 
 # Functions
 
@@ -327,3 +328,57 @@ def test_merging_keeps_disagreement(spark):
     got = {(r.case_id, r.id): tuple(r)[2:] for r in claims.merged(df).collect()}
     assert got == {("c", "h1"): (0.9, 1, 2, 1), ("c", "h3"): (0.8, 0, 0, 0), ("d", "h4"): (0.2, 0, 0, 0), ("c", "h5"): (None, 0, 0, 0)}
     assert claims.merged(df.limit(0)).count() == 0
+
+
+def test_united_evidence_keeps_order(spark):
+    base = "Income of $1,170,000 from units was {} across several filings"
+    rows = [("h1", "c", base.format("artificial"), 0.4, ["E9", " e2"], None), ("h2", "c", base.format("an artificial sum"), 0.9, ["E2", "", "E1", None], None)]
+    df = spark.createDataFrame(rows, "id string, case_id string, claim string, confidence double, supporting array<string>, contradicting array<string>")
+    got = sorted((r.n, r.ref, r.leader) for r in claims.united(df).collect())
+    assert got == [(1, "E2", "h2"), (2, "E1", "h2"), (3, "E9", "h2")]
+
+
+def test_stable_findings(spark):
+    rows = [(1, 0, "Artificial portal income from equity deals", 0.8), (1, 1, "Routine fees", 0.5), (2, 0, "Equity deals made artificial portal income", 0.6), (3, 0, None, 0.1)]
+    got = sorted((r.runs, round(r.mean, 6)) for r in claims.stable(spark.createDataFrame(rows, "run int, n int, title string, confidence double")).collect())
+    assert got == [(1, 0.1), (1, 0.5), (2, 0.7)]
+
+
+def test_filed_facts(spark, tmp_path):
+    fact = {"start": "2021-01-01", "end": "2021-12-31", "val": 5, "form": "10-K", "fp": "FY"}
+    (tmp_path / "f.json").write_text(json.dumps({"cik": "1", "entityName": "A", "facts": {"us-gaap": {"Revenues": {"units": {"USD": [fact]}}, "Other": {"units": {"EUR": [fact]}}}}}))
+    (tmp_path / "c.json").write_text(json.dumps({"cik": "1", "tag": "Revenues", "units": {"USD": [fact, fact | {"start": None}]}}))
+    facts = filed.read_company_facts(spark, str(tmp_path / "f.json"))
+    assert [tuple(r) for r in facts.collect()] == [("A", "Revenues", date(2021, 1, 1), date(2021, 12, 31), 5.0, "10-K", "FY", 0)]
+    assert filed.read_concept(spark, str(tmp_path / "c.json")).count() == 2
+    assert panel.annual_series(facts).count() == 1
+    filed.write_runs(facts.select("tag", "val"), str(tmp_path / "runs"))
+    assert filed.read_runs(spark, str(tmp_path / "runs")).collect() == [("Revenues", 5.0)]
+
+
+PERIODS = [
+    ("six-month period ended October 31, 2023", (date(2023, 10, 31), 6)), ("fiscal year ended April 30, 2022", (date(2022, 4, 30), 12)),
+    ("three months ended July 31, 2021", (date(2021, 7, 31), 3)), ("period ended July 31, 2021", None), ("year ended Foo 31, 2021", None), ("", None), (None, None),
+]
+
+
+def test_period_window(spark):
+    got = values(spark, filed.period_window, [p for p, _ in PERIODS])
+    assert [tuple(g) if g else None for g in got] == [e for _, e in PERIODS]
+
+
+def test_widest_object(spark):
+    got = values(spark, lambda c: F.to_json(records.widest_object(c)), ['x {"a": {"b": 1}} y', "none", "{bad", None])
+    assert got == ['{"a":{"b":1}}', None, None, None]
+
+
+def test_aliases(spark):
+    name, alias = r"[A-Z][A-Za-z]+ (?:LLC|Inc)", extract.DISCLOSURE["alias"]
+    docs = spark.createDataFrame(
+        [("a", 'HeadFarm LLC ("Head") and MustWatch LLC ("MW") and Acme Inc ("the Company") and Zed LLC ("Unrelated")'), ("b", 'Other LLC ("MW")'), ("c", "The MW stake; mwx, Headline"), ("d", None)],
+        "file string, text string",
+    )
+    known = extract.aliases(docs, name, alias)
+    assert {tuple(r) for r in known.collect()} == {("head", "HeadFarm LLC"), ("mw", "MustWatch LLC")}
+    got = {tuple(r) for r in extract.alias_mentions(docs, known).collect()}
+    assert got == {("a", "HeadFarm LLC"), ("a", "MustWatch LLC"), ("b", "MustWatch LLC"), ("c", "MustWatch LLC")}

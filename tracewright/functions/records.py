@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,3 +49,8 @@ def json_object(text: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def extract_json(s: pd.Series) -> pd.Series:
     return s.map(json_object)
+
+
+def widest_object(reply: Column) -> Column:
+    """What stands from the first brace to the last one, as a VARIANT; NULL if that is no JSON."""
+    return F.try_parse_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.session import cut
@@ -120,14 +120,48 @@ def leaders(f: DataFrame, links: DataFrame) -> DataFrame:
     return state
 
 
-def merged(claims: DataFrame, scope: str = "case_id") -> DataFrame:
-    """Consolidated claims: evidence united without regard to case and blanks, the highest confidence kept, absorbed ids listed."""
+def stable(findings: DataFrame, overlap: int = 4) -> DataFrame:
+    """Findings of several runs (run, n, title, confidence) in clusters of like titles: (leader, runs, mean).
+
+    A finding joins the first cluster whose first member shares `overlap` words with it. Meant for the
+    findings of runs, of which there are few a run; titles of common words pair up with each other.
+    """
+    word = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"\s+"), lambda w: (F.length(w) > 3) & ~w.isin(STOP)))
+    rows = findings.select(F.lit("").alias("scope"), F.format_string("%012d-%06d", "run", "n").alias("id"), "run", "confidence", word.alias("words"))
+    x = rows.select(F.col("id").alias("a"), F.explode("words").alias("w"))
+    y = rows.select(F.col("id").alias("b"), F.explode("words").alias("w"))
+    links = x.join(y, "w").filter("a < b").groupBy("a", "b").count().filter(F.col("count") >= overlap).select(F.lit("").alias("scope"), "a", "b")
+    lead = leaders(rows.select("scope", "id", F.lit(0.0).alias("confidence")), links)
+    return rows.join(lead, ["scope", "id"]).groupBy("leader").agg(F.count_distinct("run").alias("runs"), F.avg("confidence").alias("mean"))
+
+
+def united(claims: DataFrame, scope: str = "case_id") -> DataFrame:
+    """(scope, leader, field, n, ref): the evidence of merged claims, each id once, the leader's own first.
+
+    Ids compare without regard to case and blanks; `n` numbers them within the field.
+    """
+    rows = _members(claims, scope)
+    lists = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("ids")) for f in ("supporting", "contradicting")])
+    refs = rows.select("scope", "leader", F.struct(F.col("rep") != F.col("leader"), -F.coalesce("confidence", F.lit(0.0)), F.col("id")).alias("at"), F.explode(lists).alias("r"))
+    refs = refs.select("scope", "leader", "at", "r.field", F.posexplode("r.ids").alias("pos", "ref")).filter("ref IS NOT NULL AND trim(ref) <> ''")
+    once = refs.groupBy("scope", "leader", "field", F.lower(F.trim("ref")).alias("key")).agg(F.min(F.struct("at", "pos", "ref")).alias("r"))
+    n = F.row_number().over(Window.partitionBy("scope", "leader", "field").orderBy("r"))
+    return once.select(F.col("scope").alias(scope), "leader", "field", n.alias("n"), F.col("r.ref").alias("ref"))
+
+
+def _members(claims: DataFrame, scope: str) -> DataFrame:
+    """Claims with their class's least id `rep` and the `leader` it is merged into."""
     f = cut(features(claims, scope))
     lead = leaders(f, pairs(f)).withColumnRenamed("id", "rep")
-    ids = claims.withColumn("claim", F.coalesce("claim", F.lit(""))).withColumnRenamed(scope, "scope").join(
-        f.select("scope", "claim", F.col("id").alias("rep")), ["scope", "claim"]
+    return (
+        claims.withColumn("claim", F.coalesce("claim", F.lit(""))).withColumnRenamed(scope, "scope")
+        .join(f.select("scope", "claim", F.col("id").alias("rep")), ["scope", "claim"]).join(lead, ["scope", "rep"])
     )
-    rows = ids.join(lead, ["scope", "rep"])
+
+
+def merged(claims: DataFrame, scope: str = "case_id") -> DataFrame:
+    """Consolidated claims: evidence united without regard to case and blanks, the highest confidence kept, absorbed ids listed."""
+    rows = _members(claims, scope)
     key = lambda x: F.lower(F.trim(x))
     refs = rows.select("scope", "leader", F.explode(F.array(
         F.struct(F.lit("supporting").alias("field"), F.col("supporting").alias("ids")),

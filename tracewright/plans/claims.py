@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import clean_id
@@ -133,12 +133,38 @@ def finding_citations(spark: SparkSession, d: str) -> DataFrame:
     return s.join(e, ["case_id", "evidence"], "left_semi").join(c, "evidence").select("finding", "evidence", "cite_id", "file")
 
 
+STATES = SQL["hypothesis_states"]
+
+
+@query(f"SELECT state, count(*) AS n, count(DISTINCT case_id) AS n_cases FROM ({STATES}) GROUP BY state")
+def state_tally(spark: SparkSession, d: str) -> DataFrame:
+    """Hypotheses per state."""
+    return hypothesis_states(spark, d).groupBy("state").agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("n_cases"))
+
+
+@query(f"""WITH s AS ({STATES}), t AS (SELECT case_id, id, any_value(left(claim, 120)) AS title, max(confidence) AS confidence, max(len(supporting)) AS n_supporting FROM hypotheses GROUP BY 1, 2),
+    j AS (SELECT case_id, id, title, confidence, n_supporting::INT AS n_supporting FROM s JOIN t USING (case_id, id) WHERE state IN ('active', 'contested') AND confidence IS NOT NULL)
+    SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, id)::INT AS rn FROM j""")
+def surviving_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings that are neither refuted nor blocked, per case by confidence."""
+    t = table(spark, d, "hypotheses").groupBy("case_id", "id").agg(
+        F.first(F.left("claim", F.lit(120))).alias("title"), F.max("confidence").alias("confidence"), F.max(F.size("supporting")).alias("n_supporting")
+    )
+    rows = hypothesis_states(spark, d).filter("state IN ('active', 'contested')").select("case_id", "id").join(t, ["case_id", "id"])
+    rn = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("confidence"), "id"))
+    return rows.filter("confidence IS NOT NULL").withColumn("rn", rn)
+
+
+@query()
+def merged_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of merged claims, each id once, in order."""
+    return claims.united(table(spark, d, "hypotheses"))
+
+
 @query("""WITH h AS (SELECT DISTINCT case_id, id, confidence FROM hypotheses WHERE confidence IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY abs(confidence - 0.5), id, confidence) AS rn FROM h) SELECT case_id, id, confidence, rn::INT AS rn FROM r WHERE rn <= 20""")
 def uncertainty_order(spark: SparkSession, d: str) -> DataFrame:
     """The twenty claims of each case whose confidence is nearest to one half."""
-    from pyspark.sql import Window
-
     h = table(spark, d, "hypotheses").filter("confidence IS NOT NULL").select("case_id", "id", "confidence").distinct()
     w = Window.partitionBy("case_id").orderBy(F.abs(F.col("confidence") - 0.5), "id", "confidence")
     return h.withColumn("rn", F.row_number().over(w)).filter("rn <= 20")

@@ -119,3 +119,9 @@ def agent_forms(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "documents").select("source", "file").join(f, "file", "left")
         .groupBy("source", F.coalesce("form", F.lit("unlisted")).alias("form")).agg(F.count("*").alias("n_docs"))
     )
+
+
+@query("""SELECT doc_id, file FROM documents WHERE regexp_matches(lower(file), 'nt10-k|key|truth')""")
+def forbidden_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose file name holds a forbidden word, as of an answer key."""
+    return table(spark, d, "documents").filter(F.rlike(F.lower("file"), F.lit("nt10-k|key|truth"))).select("doc_id", "file")

@@ -174,9 +174,10 @@ def pricing_spread(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {DEALS}, {FEES}, e AS (SELECT left(file, 4) AS year, count(*) AS n, sum(consideration::DECIMAL(18,2)) AS total FROM deals GROUP BY 1),
     c AS (SELECT left(file, 4) AS year, count(*) AS n, sum(consideration::DECIMAL(18,2)) AS total FROM fees GROUP BY 1)
     SELECT year, coalesce(e.n, 0) AS equity_deals, coalesce(e.total, 0)::DOUBLE AS equity_total, coalesce(c.n, 0) AS cash_deals, coalesce(c.total, 0)::DOUBLE AS cash_total,
-    (coalesce(e.total, 0)::DOUBLE) / nullif(coalesce(e.total, 0)::DOUBLE + coalesce(c.total, 0)::DOUBLE, 0) AS equity_share FROM e FULL JOIN c USING (year)""")
+    (coalesce(e.total, 0)::DOUBLE) / nullif(coalesce(e.total, 0)::DOUBLE + coalesce(c.total, 0)::DOUBLE, 0) AS equity_share,
+    CASE WHEN c.total > 0 THEN coalesce(e.total, 0)::DOUBLE / c.total::DOUBLE END AS overstatement FROM e FULL JOIN c USING (year)""")
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
-    """Totals per year and way of settlement, and the share that never arrived as cash."""
+    """Totals per year and way of settlement, the share that never arrived as cash, and what it adds to the rest."""
     rows = deals(spark, d).select("file", "settled_in", "consideration").unionByName(fees(spark, d).select("file", "settled_in", "consideration"))
     money = F.col("consideration").cast("decimal(18,2)")
     of = lambda k, x: F.when(F.col("settled_in") == k, x)
@@ -184,7 +185,10 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
         F.count(of("equity", F.lit(1))).alias("equity_deals"), F.coalesce(F.sum(of("equity", money)).cast("double"), F.lit(0.0)).alias("equity_total"),
         F.count(of("cash", F.lit(1))).alias("cash_deals"), F.coalesce(F.sum(of("cash", money)).cast("double"), F.lit(0.0)).alias("cash_total"),
     )
-    return out.withColumn("equity_share", F.try_divide("equity_total", F.col("equity_total") + F.col("cash_total")))
+    return out.withColumns({
+        "equity_share": F.try_divide("equity_total", F.col("equity_total") + F.col("cash_total")),
+        "overstatement": F.try_divide("equity_total", "cash_total"),
+    })
 
 
 @query(f"""WITH {DEALS}, {FEES}, u AS (SELECT party, 0 AS o, file, k FROM deals UNION ALL SELECT party, 1, file, k FROM fees)
@@ -207,6 +211,22 @@ def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+ALIAS = r" \([“\"]([^”\"]{1,25})[”\"]\)"
+ALIASES = f"""al AS (SELECT file, unnest(range(len(a))) AS k, unnest(a) AS m FROM (SELECT file, regexp_extract_all({squeeze_sql('text')}, '{NAME}{ALIAS}') AS a FROM documents)),
+    an AS (SELECT file, k, trim(regexp_extract(m, '^({NAME})', 1)) AS party, lower(trim(regexp_extract(m, '{NAME}{ALIAS}', 1))) AS alias FROM al)"""
+
+
+@query(f"""WITH {ALIASES} SELECT alias, arg_min(party, (file, k)) AS party FROM an WHERE length(alias) >= 2 AND alias NOT IN ('the company')
+    AND (length(alias) <= 5 OR contains({_key_sql('party')}, {_key_sql('alias')}) OR alias = 'the issuer') GROUP BY alias""")
+def alias_map(spark: SparkSession, d: str) -> DataFrame:
+    """Short names of parties; `the issuer` is let through for what it first stands for."""
+    docs = _docs(spark, d)
+    return extract.aliases(docs, NAME, ALIAS, ["the company"]).unionByName(
+        extract.aliases(docs.withColumn("text", F.regexp_replace("text", "(?i)the issuer", "isr")), NAME, ALIAS).filter("alias = 'isr'")
+        .withColumn("alias", F.lit("the issuer"))
+    )
+
+
 AMOUNT = FILINGS["amount"]
 SENTENCES = f"""s AS (SELECT file, squeezed, unnest(string_split(squeezed, '. ')) AS s FROM (SELECT file, {squeeze_sql('text')} AS squeezed FROM documents)),
     o AS (SELECT file, list_distinct(regexp_extract_all(s, '{NAME}')) AS n, list_distinct(regexp_extract_all(s, '{AMOUNT}')) AS a FROM s),
