@@ -78,11 +78,13 @@ def test_empty(spark):
     assert spans.shares(df).count() == 0
 
 
-def test_winnow_keeps_one_hash_of_every_window():
-    r = np.random.default_rng(1)
-    h = r.integers(0, 5, 200, dtype=np.uint64)
-    at = set(spans.winnow(h, 7).tolist())
-    assert all(at & set(range(i, i + 7)) for i in range(194))
+@pytest.mark.parametrize("window", [1, 2, 7, 57, 300])
+def test_winnow_keeps_the_least_of_every_window(window):
+    r = np.random.default_rng(window)
+    h, owner = r.integers(1, 9, 200, dtype=np.uint64), np.sort(r.integers(0, 3, 200))
+    windows = [range(i, i + window) for i in range(len(h) - window + 1) if owner[i] == owner[i + window - 1]]
+    expected = {k for w in windows for k in w if h[k] == h[w.start : w.stop].min()}
+    assert set(np.flatnonzero(spans.winnow(h, window, owner)).tolist()) == expected
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 96, 120])

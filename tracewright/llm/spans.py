@@ -2,7 +2,7 @@
 
 Method: seed and extend. Each different text is hashed by runs of `anchor`
 characters and winnowed: of every `at_least - anchor + 1` neighbouring hashes
-the least is kept, so two texts that share `at_least` characters share an
+the least are kept, so two texts that share `at_least` characters share an
 anchor. Texts are joined on their anchors, each match is extended both ways to
 a maximal repeat, and repeats of at least `at_least` characters are kept.
 
@@ -20,14 +20,17 @@ row with one id are one record, the least (file, quote) of them if they differ.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.session import cut
 
-AT_LEAST, ANCHOR, HOT = 120, 96, 64
+AT_LEAST, ANCHOR, HOT = 120, 64, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -59,14 +62,24 @@ def _join(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def winnow(h: np.ndarray, window: int) -> np.ndarray:
-    """Places of the least hash (the rightmost on ties) of every window of neighbouring hashes."""
-    if len(h) == 0:
-        return np.zeros(0, dtype=np.int64)
-    window = min(window, len(h))
-    view = np.lib.stride_tricks.sliding_window_view(h[::-1], window)
-    at = view.argmin(axis=1) + np.arange(len(view))
-    return np.unique(len(h) - 1 - at)
+def _slide(h: np.ndarray, window: int, f) -> np.ndarray:
+    """f over every window of neighbouring values, by doubling."""
+    size = 1
+    while size * 2 <= window:
+        h = f(h[:-size], h[size:])
+        size *= 2
+    return f(h[: len(h) - (window - size)], h[window - size :]) if window > size else h
+
+
+def winnow(h: np.ndarray, window: int, owner: np.ndarray) -> np.ndarray:
+    """Whether each hash is the least of some window of neighbouring hashes of one owner; all of equal least ones are."""
+    if len(h) < window:
+        return np.zeros(len(h), dtype=bool)
+    edge = np.zeros(window - 1, dtype=h.dtype)
+    within = owner[: len(h) - window + 1] == owner[window - 1 :]
+    least = np.concatenate([edge, np.where(within, _slide(h, window, np.minimum), np.uint64(0)), edge])
+    # The windows that hold a hash have least values up to it; it is chosen if one of them equals it.
+    return _slide(least, window, np.maximum) == h
 
 
 def records(rows: DataFrame, key: str, group: str, text: str, at_least: int) -> DataFrame:
@@ -87,16 +100,27 @@ def classes(recs: DataFrame) -> DataFrame:
 
 
 def _anchors(cls: DataFrame, anchor: int, at_least: int) -> DataFrame:
-    @F.pandas_udf("array<struct<pos:int,anchor:bigint>>")
-    def of(s: pd.Series) -> pd.Series:
-        out = []
-        for t in s:
-            h = run_hashes(t, anchor)
-            at = winnow(h, at_least - anchor + 1)
-            out.append([{"pos": int(p), "anchor": int(v)} for p, v in zip(at, h[at].view(np.int64))])
-        return pd.Series(out, dtype=object)
-
-    return cls.select("class", F.inline(of("text")))
+    """(class, pos, anchor) of the winnowed hashes; a batch of texts is hashed as one array."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            h = run_hashes("".join(texts), anchor)
+            if len(h) == 0:
+                continue
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            owner = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
+            pos = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[owner]
+            inside = pos <= sizes[owner] - anchor
+            # Only runs within one text are winnowed; every text here has a window's worth of them.
+            at = np.flatnonzero(inside)
+            keep = at[winnow(h[at], at_least - anchor + 1, owner[at])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner[keep])), pa.array(pos[keep].astype(np.int32)), pa.array(h[keep].view(np.int64))],
+                ["class", "pos", "anchor"],
+            )
+
+    return cls.select("class", "text").mapInArrow(of, "class bigint, pos int, anchor bigint")
 
 
 def _refined(places: DataFrame, cls: DataFrame, anchor: int, at_least: int) -> DataFrame:
