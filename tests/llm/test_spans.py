@@ -64,7 +64,7 @@ def test_hot_anchors_lose_nothing(spark, hot, monkeypatch):
     rows = noisy(hot)
     df = spark.createDataFrame(rows, SCHEMA)
     whole = spans.repeats
-    monkeypatch.setattr(spans, "repeats", lambda c, n: whole(c, n, anchor=20, hot=hot))
+    monkeypatch.setattr(spans, "repeats", lambda c, f, n: whole(c, f, n, anchor=20, hot=hot))
     got = [tuple(r) for r in spans.found(df, at_least=25).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute_pairs([r[:3] for r in rows], 25)

@@ -148,6 +148,24 @@ def _meet(places: DataFrame) -> DataFrame:
     )
 
 
+def _meet_across(places: DataFrame, files: DataFrame) -> DataFrame:
+    """The same for places that many share: only classes of different files meet.
+
+    Files meet first, so a third of all records in one file that share a run are never paired with each other.
+    """
+    pf = places.join(files, "class")
+    af = pf.select("anchor", "file").distinct()
+    across = af.select("anchor", F.col("file").alias("f")).join(af.select("anchor", F.col("file").alias("g")), "anchor").filter("f < g")
+    x = pf.select("anchor", F.col("file").alias("f"), F.col("class").alias("a"), F.col("pos").alias("p"))
+    y = pf.select("anchor", F.col("file").alias("g"), F.col("class").alias("b"), F.col("pos").alias("q"))
+    first, other = F.struct(F.col("a").alias("c"), F.col("p").alias("at")), F.struct(F.col("b").alias("c"), F.col("q").alias("at"))
+    met = across.join(x, ["anchor", "f"]).join(y, ["anchor", "g"]).filter("a <> b").select(F.least(first, other).alias("x"), F.greatest(first, other).alias("y"))
+    return (
+        met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), (F.col("y.at") - F.col("x.at")).alias("diagonal"), F.col("x.at").alias("p"))
+        .groupBy("a", "b", "diagonal").agg(F.min("p").alias("p"))
+    )
+
+
 def extend(t: str, u: str, p: int, d: int, at_least: int) -> list[tuple[int, int, int]]:
     """Maximal repeats of at least `at_least` characters on the diagonal q = p + d."""
     lo, hi = max(0, -d), min(len(t), len(u) - d)
@@ -160,14 +178,18 @@ def extend(t: str, u: str, p: int, d: int, at_least: int) -> list[tuple[int, int
     return [(int(s) + lo, int(s) + lo + d, int(n)) for s, n in zip(ends[:-1], sizes) if n >= at_least]
 
 
-def repeats(cls: DataFrame, at_least: int = AT_LEAST, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """Maximal repeats between different texts: a < b (classes), start_a, start_b, n."""
+def repeats(cls: DataFrame, files: DataFrame, at_least: int = AT_LEAST, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+    """Maximal repeats between different texts (class, text): a < b (classes), start_a, start_b, n.
+
+    `files` (class, file) says which files hold a text; where many texts share an anchor only those of
+    different files are compared, as others are of no use to the callers.
+    """
     texts = cut(cls)
     places = cut(_anchors(texts, anchor, at_least))
     counts = places.groupBy("anchor").agg(F.count("*").alias("n"))
     few = places.join(counts.filter(f"n BETWEEN 2 AND {hot}"), "anchor", "left_semi")
     many = places.join(counts.filter(f"n > {hot}"), "anchor", "left_semi")
-    seeds = _meet(few).unionByName(_meet(_refined(many, texts, anchor, at_least)))
+    seeds = _meet(few).unionByName(_meet_across(_refined(many, texts, anchor, at_least), files))
     seeds = seeds.groupBy("a", "b", "diagonal").agg(F.min("p").alias("p"))
 
     @F.pandas_udf("array<struct<start_a:int,start_b:int,n:int>>")
@@ -188,9 +210,9 @@ def found(rows: DataFrame, key: str = "cite_id", group: str = "file", text: str
     recs = cut(records(rows, key, group, text, at_least))
     cls = classes(recs)
     members = cut(recs.join(cls.select("text", "class"), "text").select("id", "file", "class"))
-    pairs = repeats(cls.select("class", "text"), at_least).select("a", "b").distinct()
-    own = cls.filter("low < high").select(F.col("class").alias("a"), F.col("class").alias("b"))
     files = members.select("class", "file").distinct()
+    pairs = repeats(cls.select("class", "text"), files, at_least).select("a", "b").distinct()
+    own = cls.filter("low < high").select(F.col("class").alias("a"), F.col("class").alias("b"))
     by_file = (
         pairs.unionByName(own)
         .join(files.select(F.col("class").alias("a"), F.col("file").alias("f")), "a")
@@ -208,7 +230,8 @@ def shares(rows: DataFrame, key: str = "cite_id", group: str = "file", text: str
     """Per record: its length and how many of its characters lie in repeats shared with another file."""
     recs = cut(records(rows, key, group, text, at_least))
     cls = cut(classes(recs))
-    found = repeats(cls.select("class", "text"), at_least)
+    members = cut(recs.join(cls.select("text", "class"), "text").select("id", "file", "class"))
+    found = repeats(cls.select("class", "text"), members.select("class", "file").distinct(), at_least)
     spans = found.select(F.col("a").alias("class"), F.col("b").alias("other"), F.col("start_a").alias("lo"), "n").unionByName(
         found.select(F.col("b").alias("class"), F.col("a").alias("other"), F.col("start_b").alias("lo"), "n")
     ).unionByName(
@@ -219,14 +242,13 @@ def shares(rows: DataFrame, key: str = "cite_id", group: str = "file", text: str
         spans.join(cls.select(F.col("class").alias("other"), "low", "high"), "other")
         .groupBy("class", F.when(F.col("low") == F.col("high"), F.col("low")).alias("only"), "lo").agg(F.max("n").alias("n"))
     )
-    files = recs.join(cls.select("text", "class"), "text").select("id", "file", "class")
-    per_file = files.select("class", "file").distinct().join(spans, "class").filter("only IS NULL OR only <> file")
+    per_file = members.select("class", "file").distinct().join(spans, "class").filter("only IS NULL OR only <> file")
     w = Window.partitionBy("class", "file").orderBy("lo", "n").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
         per_file.withColumn("before", F.coalesce(F.max(F.col("lo") + F.col("n")).over(w), F.lit(0)))
         .groupBy("class", "file")
         .agg(F.sum(F.greatest(F.col("lo") + F.col("n") - F.greatest("lo", "before"), F.lit(0))).cast("long").alias("shared"))
     )
-    got = files.join(covered, ["class", "file"]).select(F.col("id").alias(key), "shared")
+    got = members.join(covered, ["class", "file"]).select(F.col("id").alias(key), "shared")
     every = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.length(text)).alias("chars"))
     return every.join(got, key, "left").select(key, "chars", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"))
