@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import squeeze
 from tracewright.plans.registry import Registry, squeeze_sql
-from tracewright.session import table
+from tracewright.session import table, texts
 from tracewright.sources import corpus
 
 query = Registry()
@@ -23,7 +23,7 @@ CLEAN = r"regexp_replace(regexp_replace(upper(trim({})), '^(NT )?(8|10)([A-Z])',
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     """Documents, characters and a token estimate (four characters each) per language."""
     chars = F.coalesce(F.length("text"), F.lit(0))
-    return table(spark, d, "documents").groupBy("lang").agg(
+    return texts(spark, d).groupBy("lang").agg(
         F.count("*").alias("n_docs"), F.sum(chars).cast("long").alias("n_chars"),
         F.sum(F.floor(chars / 4)).cast("long").alias("n_tokens"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("n_empty"),
     )
@@ -60,7 +60,7 @@ def gap_fill(spark: SparkSession, d: str) -> DataFrame:
 def unmatched_files(spark: SparkSession, d: str) -> DataFrame:
     """Listed files without a document and documents no manifest lists."""
     listed = corpus.entries(table(spark, d, "manifests")).filter("file IS NOT NULL").select("file").distinct()
-    docs = table(spark, d, "documents").select("file")
+    docs = texts(spark, d).select("file")
     return (
         listed.join(docs, "file", "left_anti").select(F.lit("not in corpus").alias("what"), "file")
         .unionByName(docs.join(listed, "file", "left_anti").select(F.lit("not listed").alias("what"), "file"))
@@ -74,7 +74,7 @@ def _header(name: str) -> str:
 @query(f"""SELECT doc_id, file, regexp_extract(file, '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS file_date,
     {', '.join(map(_header, ('SOURCE', 'FORM', 'FILED', 'COMPANY')))} FROM documents""")
 def filing_headers(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.headers(table(spark, d, "documents"))
+    return corpus.headers(texts(spark, d))
 
 
 @query(f"""WITH e AS (SELECT DISTINCT d.file AS file, d.filed AS filed, {CLEAN.format('d.form')} AS form, d.url AS url FROM {ENTRIES})
@@ -99,7 +99,7 @@ PARAGRAPH = squeeze_sql(f"unnest(regexp_split_to_array(text, '{BLANK_LINE}'))")
     SELECT doc_id, count(*) AS n_paragraphs, max(length(p))::INT AS longest FROM p WHERE p <> '' AND length(p) <= 2500 GROUP BY doc_id""")
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs between blank lines, empty and very long ones left out."""
-    p = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", BLANK_LINE, -1)).alias("p"))
+    p = texts(spark, d).select("doc_id", F.explode(F.split("text", BLANK_LINE, -1)).alias("p"))
     return (
         p.select("doc_id", squeeze(F.col("p")).alias("p")).filter("p <> '' AND length(p) <= 2500")
         .groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.max(F.length("p")).alias("longest"))
@@ -116,7 +116,7 @@ def agent_forms(spark: SparkSession, d: str) -> DataFrame:
         .groupBy("file").agg(F.min(corpus.clean_form(F.col("form"))).alias("form"))
     )
     return (
-        table(spark, d, "documents").select("source", "file").join(f, "file", "left")
+        texts(spark, d).select("source", "file").join(f, "file", "left")
         .groupBy("source", F.coalesce("form", F.lit("unlisted")).alias("form")).agg(F.count("*").alias("n_docs"))
     )
 
@@ -124,4 +124,4 @@ def agent_forms(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, file FROM documents WHERE regexp_matches(lower(file), 'nt10-k|key|truth')""")
 def forbidden_files(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose file name holds a forbidden word, as of an answer key."""
-    return table(spark, d, "documents").filter(F.rlike(F.lower("file"), F.lit("nt10-k|key|truth"))).select("doc_id", "file")
+    return texts(spark, d).filter(F.rlike(F.lower("file"), F.lit("nt10-k|key|truth"))).select("doc_id", "file")

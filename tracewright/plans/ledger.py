@@ -10,7 +10,7 @@ from tracewright.operators import extract
 from tracewright.operators.bands import band_pairs
 from tracewright.operators.extract import FILINGS, NAME
 from tracewright.plans.registry import Registry, squeeze_sql
-from tracewright.session import table
+from tracewright.session import table, texts
 
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
@@ -41,11 +41,11 @@ FEES = f"""{_matches_sql(CASH, 'y')}, fees AS (SELECT file, k, 'cash' AS settled
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("file", "text")
+    return texts(spark, d).select("file", "text")
 
 
 def deals(spark: SparkSession, d: str) -> DataFrame:
-    m = extract.matches(_docs(spark, d), FILINGS["equity"], {"party": 1, "u": 2, "c": 4, "p": 6})
+    m = extract.matches(_docs(spark, d), FILINGS["equity"], {"party": 1, "u": 2, "c": 4, "p": 6}, extract.WORDS["equity"])
     return m.select(
         "file", "k", F.lit("equity").alias("settled_in"), "party", number(F.col("u")).alias("units"),
         number(F.col("c")).alias("consideration"), F.col("p").cast("double").alias("unit_price"),
@@ -53,7 +53,7 @@ def deals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fees(spark: SparkSession, d: str) -> DataFrame:
-    m = extract.matches(_docs(spark, d), FILINGS["cash"], {"party": 2, "c": 3, "u": 4})
+    m = extract.matches(_docs(spark, d), FILINGS["cash"], {"party": 2, "c": 3, "u": 4}, extract.WORDS["cash"])
     return m.select(
         "file", "k", F.lit("cash").alias("settled_in"), "party", number(F.col("c")).alias("consideration"), F.col("u").cast("double").alias("unpaid_pct")
     )
@@ -90,7 +90,7 @@ def first_fee(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def deal_quotes(spark: SparkSession, d: str) -> DataFrame:
     """Each deal with the sentence it stands in, as a citation that can be verified."""
-    m = extract.matches(_docs(spark, d), FILINGS["equity"], {"party": 1})
+    m = extract.matches(_docs(spark, d), FILINGS["equity"], {"party": 1}, extract.WORDS["equity"])
     return m.select("file", "k", "party", extract.quote("text", "start", F.col("start") + F.length("m")).alias("quote"))
 
 
@@ -102,7 +102,7 @@ CONCS = f"""{_matches_sql(CONC)}, c AS (SELECT file, k, unnest([regexp_extract(m
     SELECT period, count(*) AS n_customers, sum(pct)::DOUBLE AS named_share_pct, (array_agg(party ORDER BY pct DESC, party))[1] AS largest FROM l GROUP BY period""")
 def concentration_share(spark: SparkSession, d: str) -> DataFrame:
     """Named customers and their stated share per month of filing; a later statement replaces an earlier one."""
-    m = extract.matches(_docs(spark, d), FILINGS["concentration"], {"p": 1, "q": 2, "s": 3})
+    m = extract.matches(_docs(spark, d), FILINGS["concentration"], {"p": 1, "q": 2, "s": 3}, extract.WORDS["concentration"])
     rows = m.select("file", "k", F.explode(F.array("p", "q")).alias("party"), F.col("s").cast("decimal(9,2)").alias("pct"))
     last = rows.groupBy(F.left("file", F.lit(7)).alias("period"), "party").agg(F.max_by("pct", F.struct("file", "k")).alias("pct"))
     return last.groupBy("period").agg(
@@ -116,7 +116,7 @@ def concentration_share(spark: SparkSession, d: str) -> DataFrame:
     SELECT file, k::INT AS k, coalesce(regexp_extract_all(substring(text, greatest(start - 299, 1), least(start, 300)), '{DATE}')[-1], '') AS period FROM p""")
 def preceding_period(spark: SparkSession, d: str) -> DataFrame:
     """The last date in the 300 characters in front of each stated share (statements made once per file)."""
-    m = extract.matches(_docs(spark, d), FILINGS["concentration"], {})
+    m = extract.matches(_docs(spark, d), FILINGS["concentration"], {}, extract.WORDS["concentration"])
     dates = F.regexp_extract_all(extract.before(300), F.lit(FILINGS["date"]), F.lit(0))
     once = F.count("*").over(Window.partitionBy("file", "m")) == 1
     return m.withColumn("once", once).filter("once").select("file", "k", F.coalesce(F.try_element_at(dates, F.lit(-1)), F.lit("")).alias("period"))
@@ -127,7 +127,7 @@ def preceding_period(spark: SparkSession, d: str) -> DataFrame:
     SELECT file, k::INT AS k, nullif(regexp_extract(substring(text, start + 1 + length(m), 1200), '{RATE}', 1), '') AS low FROM p""")
 def trailing_rate(spark: SparkSession, d: str) -> DataFrame:
     """The first rate in the 1,200 characters behind each deal (deals stated once per file)."""
-    m = extract.matches(_docs(spark, d), FILINGS["equity"], {})
+    m = extract.matches(_docs(spark, d), FILINGS["equity"], {}, extract.WORDS["equity"])
     once = F.count("*").over(Window.partitionBy("file", "m")) == 1
     return m.withColumn("once", once).filter("once").select(
         "file", "k", F.nullif(F.regexp_extract(extract.tail(1200), FILINGS["rate"], 1), F.lit("")).alias("low")
@@ -139,7 +139,7 @@ RATES = f"""{_matches_sql(RATE, 'z')}, rates AS (SELECT {_num_sql(f"regexp_extra
 
 
 def rates(spark: SparkSession, d: str) -> DataFrame:
-    m = extract.matches(_docs(spark, d), FILINGS["rate"], {"lo": 1, "hi": 2})
+    m = extract.matches(_docs(spark, d), FILINGS["rate"], {"lo": 1, "hi": 2}, extract.WORDS["rate"])
     return m.select("file", "k", number(F.col("lo")).alias("low"), number(F.col("hi")).alias("high"))
 
 

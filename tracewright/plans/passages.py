@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import passages
 from tracewright.plans.registry import Registry
-from tracewright.session import table
+from tracewright.session import table, texts
 
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
@@ -24,13 +24,13 @@ SCORES = f"s AS (SELECT doc_id, source, {SCORE} AS score FROM documents), r AS (
 @query(f"WITH {SCORES} SELECT doc_id, source, score::BIGINT AS score, rn::INT AS rn FROM r WHERE rn <= 8 AND score > 0")
 def doc_relevance_topk(spark: SparkSession, d: str) -> DataFrame:
     """The eight most relevant documents of each source."""
-    return passages.ranked(table(spark, d, "documents"), TERMS, "source").filter("rn <= 8 AND score > 0")
+    return passages.ranked(texts(spark, d), TERMS, "source").filter("rn <= 8 AND score > 0")
 
 
 @query(f"WITH {SCORES} SELECT doc_id, source, rn <= 8 AS top FROM r WHERE rn <= 8 OR (rn - 9) % 7 = 0")
 def stride_sample(spark: SparkSession, d: str) -> DataFrame:
     """The top documents and every seventh of the rest."""
-    r = passages.ranked(table(spark, d, "documents"), TERMS, "source")
+    r = passages.ranked(texts(spark, d), TERMS, "source")
     return r.filter("rn <= 8 OR (rn - 9) % 7 = 0").select("doc_id", "source", (F.col("rn") <= 8).alias("top"))
 
 
@@ -58,7 +58,7 @@ SPANS = f"""t AS (SELECT doc_id, length(text) AS n_chars, lower(text) AS low, un
 @query(f"WITH {SPANS} SELECT doc_id, term, n, lo, lo + length(term)::INT AS hi FROM s")
 def term_spans(spark: SparkSession, d: str) -> DataFrame:
     """The first six places of each term."""
-    return passages.spans(table(spark, d, "documents"), TERMS)
+    return passages.spans(texts(spark, d), TERMS)
 
 
 WINDOWS = f"""{SPANS}, w AS (SELECT doc_id, greatest(lo - {WINDOW}, 0) AS lo, least(lo + length(term) + {WINDOW}, n_chars) AS hi FROM s),
@@ -71,7 +71,7 @@ WINDOWS = f"""{SPANS}, w AS (SELECT doc_id, greatest(lo - {WINDOW}, 0) AS lo, le
 @query(f"WITH {WINDOWS} SELECT * FROM win")
 def passage_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows around the places of terms, merged where they meet."""
-    return passages.windows(table(spark, d, "documents"), TERMS, WINDOW)
+    return passages.windows(texts(spark, d), TERMS, WINDOW)
 
 
 @query(f"""WITH {WINDOWS}, l AS (SELECT win.* FROM win JOIN documents USING (doc_id) WHERE length(text) > {BUDGET}),
@@ -80,10 +80,10 @@ def passage_windows(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT DISTINCT doc_id, 0, {HEAD} FROM l""")
 def passage_fill(spark: SparkSession, d: str) -> DataFrame:
     """Head and densest windows of long texts within the budget."""
-    return passages.filled(table(spark, d, "documents"), TERMS, BUDGET, WINDOW, HEAD)
+    return passages.filled(texts(spark, d), TERMS, BUDGET, WINDOW, HEAD)
 
 
 @query()
 def passage_excerpts(spark: SparkSession, d: str) -> DataFrame:
     """The excerpt of every text."""
-    return passages.excerpts(table(spark, d, "documents"), TERMS, BUDGET, WINDOW, HEAD)
+    return passages.excerpts(texts(spark, d), TERMS, BUDGET, WINDOW, HEAD)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import extract, verify
 from tracewright.plans.registry import Registry, compared_sql, squeeze_sql
-from tracewright.session import table
+from tracewright.session import table, texts
 
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
@@ -25,26 +25,26 @@ def _cites(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EXACT} SELECT * FROM x")
 def citation_exact(spark: SparkSession, d: str) -> DataFrame:
     """Each citation: its file is unknown, its quote is empty, stands in the text, or is left for fuzzy comparison."""
-    return verify.exact(_cites(spark, d), table(spark, d, "documents"))
+    return verify.exact(_cites(spark, d), texts(spark, d))
 
 
 @query(f"""WITH {EXACT} SELECT count(*) AS checked, count(*) FILTER (WHERE found = 'EXACT') AS exact, count(*) FILTER (WHERE found = 'FUZZY') AS fuzzy,
     count(*) FILTER (WHERE found = 'BAD_FILE') AS bad_file, count(*) FILTER (WHERE found = 'NOT_FOUND') AS not_found,
     count(*) FILTER (WHERE found IN ('EXACT', 'FUZZY'))::DOUBLE / nullif(count(*), 0)::DOUBLE AS accuracy FROM x""")
 def citation_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return verify.accuracy(verify.exact(_cites(spark, d), table(spark, d, "documents")))
+    return verify.accuracy(verify.exact(_cites(spark, d), texts(spark, d)))
 
 
 @query()
 def citation_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts with fuzzy comparison of what is not found exactly."""
-    return verify.checked(table(spark, d, "citations"), table(spark, d, "documents"))
+    return verify.checked(table(spark, d, "citations"), texts(spark, d))
 
 
 @query()
 def citation_verdicts_scorer(spark: SparkSession, d: str) -> DataFrame:
     """The scorer's variant: windows every 500 characters."""
-    return verify.checked(table(spark, d, "citations"), table(spark, d, "documents"), stride=500)
+    return verify.checked(table(spark, d, "citations"), texts(spark, d), stride=500)
 
 
 @query(f"""WITH {EXACT}, p AS (SELECT evidence_id, count(*) FILTER (WHERE found = 'EXACT') AS kept, count(*) FILTER (WHERE found <> 'EXACT') AS quarantined
@@ -53,7 +53,7 @@ def citation_verdicts_scorer(spark: SparkSession, d: str) -> DataFrame:
     coalesce(quarantined, 0) AS quarantined, CASE WHEN kept = 0 AND quarantined > 0 AND tier = 'DIRECT' THEN 'unverifiable_citation' END AS integrity_flag
     FROM evidence LEFT JOIN p ON id = evidence_id""")
 def evidence_screen(spark: SparkSession, d: str) -> DataFrame:
-    return verify.screened(table(spark, d, "evidence"), verify.exact(_cites(spark, d), table(spark, d, "documents")))
+    return verify.screened(table(spark, d, "evidence"), verify.exact(_cites(spark, d), texts(spark, d)))
 
 
 @query(f"""WITH {EXACT} SELECT coalesce(verdict, 'none') AS recorded, found, count(*) AS n
@@ -62,7 +62,7 @@ def verdict_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Recorded verdicts against those found."""
     cites = _cites(spark, d)
     return (
-        verify.exact(cites, table(spark, d, "documents")).join(cites.select("cite_id", "verdict").distinct(), "cite_id")
+        verify.exact(cites, texts(spark, d)).join(cites.select("cite_id", "verdict").distinct(), "cite_id")
         .groupBy(F.coalesce("verdict", F.lit("none")).alias("recorded"), "found").agg(F.count("*").alias("n"))
     )
 
@@ -76,4 +76,4 @@ def verdict_agreement(spark: SparkSession, d: str) -> DataFrame:
     coalesce(n_files, 0) AS n_files, array_to_string(coalesce(found_in, []), ' ') AS found_in FROM r LEFT JOIN h USING (referent)""")
 def claim_referents(spark: SparkSession, d: str) -> DataFrame:
     """Parties a claim names, whether in its head or behind a qualifier, and the files that name them."""
-    return extract.referents(table(spark, d, "hypotheses"), table(spark, d, "documents"))
+    return extract.referents(table(spark, d, "hypotheses"), texts(spark, d))

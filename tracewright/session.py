@@ -34,6 +34,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """A table whose rows are much work each: if it lies in fewer files than there are cores, it is spread over all of them.
+
+    Large tables have more files than that and are read as they lie.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's `spark.checkpoint.dir`, which a cluster sets to a place all executors share.
 
