@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import leaks, lines, pieces, spans, textform, tokens
-from tracewright.session import table
+from tracewright.session import table, texts
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,59 +17,59 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.found(table(spark, d, "documents"))
+    return pieces.found(texts(spark, d))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.pieces(table(spark, d, "documents"))
+    return pieces.pieces(texts(spark, d))
 
 
 def p2_filings(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.filings(table(spark, d, "manifests"), table(spark, d, "documents"))
+    return pieces.filings(table(spark, d, "manifests"), texts(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return lines.found(table(spark, d, "documents"))
+    return lines.found(texts(spark, d))
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
-    return lines.clean(table(spark, d, "documents"))
+    return lines.clean(texts(spark, d))
 
 
 def p4_clean_near(spark: SparkSession, d: str) -> DataFrame:
-    return lines.clean(table(spark, d, "documents"), near=True)
+    return lines.clean(texts(spark, d), near=True)
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return lines.report(table(spark, d, "documents"), table(spark, d, "manifests"))
+    return lines.report(texts(spark, d), table(spark, d, "manifests"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"))
+    return tokens.encode(texts(spark, d))
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.token_counts(table(spark, d, "documents"))
+    return tokens.token_counts(texts(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.leaks(texts(spark, d), table(spark, d, "eval_items"))
 
 
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.spans(texts(spark, d), table(spark, d, "eval_items"))
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.item_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.item_report(texts(spark, d), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return textform.look_alikes(table(spark, d, "documents"))
+    return textform.look_alikes(texts(spark, d))
 
 
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
-    return textform.forms(table(spark, d, "documents"))
+    return textform.forms(texts(spark, d))
 
 
 QUERIES = {
