@@ -25,7 +25,7 @@ def test_text_functions(spark):
     assert values(spark, T.compared, ["A  b\r\n c ", None, "​"]) == ["a b c", None, "​"]
     assert values(spark, T.clean_id, [" e-1\t", " ", None]) == ["E-1", None, None]
     assert values(spark, T.number, ["$1,234.50", "x", None]) == [1234.5, None, None]
-    assert values(spark, T.significant_digits, ["50,000", "2,853,659", "1,170,000", "0"]) == [1, 7, 3, 1]
+    assert values(spark, T.significant_digits, ["50,000", "2,718,281", "1,260,000", "0"]) == [1, 7, 3, 1]
     assert values(spark, T.squashed, ["Cust Corp."]) == ["custcorp"]
     assert values(spark, T.leading_date, ["2020-01-02_8-K.txt", "x"]) == ["2020-01-02", ""]
 
@@ -105,23 +105,23 @@ def test_quote_ratio_is_the_best_window():
 
 
 def test_engagements(spark):
-    deal = "In May 2021 the Company received 2,853,659 units of {} as a payment\nfor services. This satisfied an accounts receivable balance of $1,170,000. The units are valued at $0.41 per unit."
-    later = "We received 2,853,659 units of Head Farm LLC (the deal) as noted."
-    cash = "The company signed a consulting agreement with Vymedic, Inc. for a $40,000 fee over a 5-month period. More."
+    deal = "In May 2021 the Company received 2,718,281 units of {} as a payment\nfor services. This satisfied an accounts receivable balance of $1,260,000. The units are valued at $0.41 per unit."
+    later = "We received 2,718,281 units of North Barn LLC (the deal) as noted."
+    cash = "The company signed a consulting agreement with Bluemere, Inc. for a $40,000 fee over a 5-month period. More."
     docs = spark.createDataFrame(
-        [("2020-01-01_a.txt", later), ("2021-01-01_b.txt", "First. " + deal.format("HeadFarm LLC")), ("2022-01-01_c.txt", cash), ("d", None), ("e", "")], "file string, text string"
+        [("2020-01-01_a.txt", later), ("2021-01-01_b.txt", "First. " + deal.format("NorthBarn LLC")), ("2022-01-01_c.txt", cash), ("d", None), ("e", "")], "file string, text string"
     )
     rows = extract.engagements(docs)
     got = {(r.file, r.settled_in): r for r in rows.collect()}
     assert len(got) == 3
     b = got["2021-01-01_b.txt", "equity"]
-    assert (b.party, b.units, b.consideration, b.unit_price) == ("HeadFarm LLC", 2853659.0, 1170000.0, 0.41)
-    assert b.quote.startswith("In May 2021") and b.quote.endswith("$1,170,000.")
-    assert got["2022-01-01_c.txt", "cash"].party == "Vymedic, Inc" and got["2022-01-01_c.txt", "cash"].consideration == 40000.0
+    assert (b.party, b.units, b.consideration, b.unit_price) == ("NorthBarn LLC", 2718281.0, 1260000.0, 0.41)
+    assert b.quote.startswith("In May 2021") and b.quote.endswith("$1,260,000.")
+    assert got["2022-01-01_c.txt", "cash"].party == "Bluemere, Inc" and got["2022-01-01_c.txt", "cash"].consideration == 40000.0
     reg = {r.key: r for r in extract.register(rows).collect()}
-    head = reg["headfarmllc"]
-    assert (head.party, head.file, head.consideration, head.unit_price, head.filing_count) == ("Head Farm LLC", "2020-01-01_a.txt", 1170000.0, 0.41, 2)
-    assert extract.engagements(docs, own="headfarm|head farm").count() == 1
+    barn = reg["northbarnllc"]
+    assert (barn.party, barn.file, barn.consideration, barn.unit_price, barn.filing_count) == ("North Barn LLC", "2020-01-01_a.txt", 1260000.0, 0.41, 2)
+    assert extract.engagements(docs, own="northbarn|north barn").count() == 1
     assert extract.engagements(docs.limit(0)).count() == 0
 
 
@@ -140,17 +140,17 @@ def test_sentence_around():
 
 def test_absence_referents(spark):
     docs = spark.createDataFrame(
-        [("2020_10-K_1.txt", "Filed by CountSharp LLC."), ("2021_NT10-K_2.txt", "Nothing."), ("2022_8-K_3.txt", None)], "file string, text string"
+        [("2020_10-K_1.txt", "Filed by TallyWell LLC."), ("2021_NT10-K_2.txt", "Nothing."), ("2022_8-K_3.txt", None)], "file string, text string"
     )
     c = spark.createDataFrame(
         [
-            ("1", "The Form 10-K filings are absent from the corpus."), ("2", "The details of CountSharp LLC are absent."),
-            ("3", "CountSharp LLC may not be included."), ("4", "MissingCo Inc. is absent."), ("5", None), ("6", "Form 10-Q filings cannot be found."),
+            ("1", "The Form 10-K filings are absent from the corpus."), ("2", "The details of TallyWell LLC are absent."),
+            ("3", "TallyWell LLC may not be included."), ("4", "Absentia Inc. is absent."), ("5", None), ("6", "Form 10-Q filings cannot be found."),
         ],
         "id string, claim string",
     )
     got = {r.id: (r.kind, r.referent, r.severity, r.n_files) for r in extract.absence_referents(c, docs).collect()}
-    assert got == {"1": ("form", "Form 10-K", "HARD", 2), "2": ("entity", "CountSharp LLC", "SOFT", 1)}
+    assert got == {"1": ("form", "Form 10-K", "HARD", 2), "2": ("entity", "TallyWell LLC", "SOFT", 1)}
 
 
 @pytest.mark.parametrize("tolerance", [0.005, 0.02])
@@ -270,15 +270,15 @@ def test_excerpts_equal_brute_force(spark):
 
 
 def test_needle_deep_in_a_long_text(spark):
-    text = "x" * 302_971 + " 2,853,659 units " + "y" * 17_000
+    text = "x" * 302_971 + " 2,718,281 units " + "y" * 17_000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    r = passages.excerpts(df, ["2,853,659"]).first()
-    assert "2,853,659 units" in r.excerpt and r.mode == "windows"
+    r = passages.excerpts(df, ["2,718,281"]).first()
+    assert "2,718,281 units" in r.excerpt and r.mode == "windows"
 
 
 def test_query_terms(spark):
-    got = values(spark, passages.query_terms, ["Identify what 2,853,659 Units and units of HeadFarm in 2021", ""])
-    assert got == [["2,853,659", "units", "headfarm"], []]
+    got = values(spark, passages.query_terms, ["Identify what 2,718,281 Units and units of NorthBarn in 2021", ""])
+    assert got == [["2,718,281", "units", "northbarn"], []]
 
 
 # Claims
@@ -313,13 +313,13 @@ STANCES = [
 
 def test_claim_features(spark):
     assert values(spark, claims.stance, [c for c, _ in STANCES]) == [s for _, s in STANCES]
-    got = values(spark, claims.figures, ["$1,170,000 or 1,170,000, 37% of 12 in $999.", None, "$2,500.5 and 45.5%"])
-    assert got == [["1170000", "37%"], [], ["2500", "45.5%"]]
+    got = values(spark, claims.figures, ["$1,260,000 or 1,260,000, 37% of 12 in $999.", None, "$2,500.5 and 45.5%"])
+    assert got == [["1260000", "37%"], [], ["2500", "45.5%"]]
     assert values(spark, claims.words, ["The self-dealing of Acme Inc was large"]) == [["self-dealing", "acme", "large"]]
 
 
 def test_merging_keeps_disagreement(spark):
-    base = "Income of $1,170,000 from units was {} across several filings"
+    base = "Income of $1,260,000 from units was {} across several filings"
     rows = [
         ("h1", "c", base.format("artificial"), 0.9, ["E1", "e2 "], None), ("h2", "c", base.format("an artificial amount"), 0.4, ["E2"], ["E3"]),
         ("h3", "c", base.format("ordinary"), 0.8, None, None), ("h4", "d", base.format("artificial"), 0.2, [], []), ("h5", "c", None, None, None, None),
@@ -331,7 +331,7 @@ def test_merging_keeps_disagreement(spark):
 
 
 def test_united_evidence_keeps_order(spark):
-    base = "Income of $1,170,000 from units was {} across several filings"
+    base = "Income of $1,260,000 from units was {} across several filings"
     rows = [("h1", "c", base.format("artificial"), 0.4, ["E9", " e2"], None), ("h2", "c", base.format("an artificial sum"), 0.9, ["E2", "", "E1", None], None)]
     df = spark.createDataFrame(rows, "id string, case_id string, claim string, confidence double, supporting array<string>, contradicting array<string>")
     got = sorted((r.n, r.ref, r.leader) for r in claims.united(df).collect())
@@ -375,10 +375,10 @@ def test_widest_object(spark):
 def test_aliases(spark):
     name, alias = r"[A-Z][A-Za-z]+ (?:LLC|Inc)", extract.DISCLOSURE["alias"]
     docs = spark.createDataFrame(
-        [("a", 'HeadFarm LLC ("Head") and MustWatch LLC ("MW") and Acme Inc ("the Company") and Zed LLC ("Unrelated")'), ("b", 'Other LLC ("MW")'), ("c", "The MW stake; mwx, Headline"), ("d", None)],
+        [("a", 'NorthBarn LLC ("North") and SeeMore LLC ("SM") and Acme Inc ("the Company") and Zed LLC ("Unrelated")'), ("b", 'Other LLC ("SM")'), ("c", "The SM stake; smx, Northline"), ("d", None)],
         "file string, text string",
     )
     known = extract.aliases(docs, name, alias)
-    assert {tuple(r) for r in known.collect()} == {("head", "HeadFarm LLC"), ("mw", "MustWatch LLC")}
+    assert {tuple(r) for r in known.collect()} == {("north", "NorthBarn LLC"), ("sm", "SeeMore LLC")}
     got = {tuple(r) for r in extract.alias_mentions(docs, known).collect()}
-    assert got == {("a", "HeadFarm LLC"), ("a", "MustWatch LLC"), ("b", "MustWatch LLC"), ("c", "MustWatch LLC")}
+    assert got == {("a", "NorthBarn LLC"), ("a", "SeeMore LLC"), ("b", "SeeMore LLC"), ("c", "SeeMore LLC")}
