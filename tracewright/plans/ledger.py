@@ -15,7 +15,9 @@ from tracewright.session import table, texts
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
 
-EQ, CASH, CONC, RATE, DATE = (FILINGS[k].replace("'", "''") for k in ("equity", "cash", "concentration", "rate", "date"))
+EQ, CASH, CONC, RATE, DATE = (extract.portable(FILINGS[k]) for k in ("equity", "cash", "concentration", "rate", "date"))
+
+SQL_NAME = extract.portable(NAME)
 
 
 def _num_sql(c: str) -> str:
@@ -41,7 +43,7 @@ FEES = f"""{_matches_sql(CASH, 'y')}, fees AS (SELECT file, k, 'cash' AS settled
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return texts(spark, d).select("file", "text")
+    return texts(spark, d, "file", "text", hold=True)
 
 
 def deals(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +203,7 @@ def counterparty_union(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH m AS (SELECT file, unnest(list_distinct(regexp_extract_all({squeeze_sql('text')}, '{NAME}'))) AS party FROM documents)
+@query(f"""WITH m AS (SELECT file, unnest(list_distinct(regexp_extract_all({squeeze_sql('text')}, '{SQL_NAME}'))) AS party FROM documents)
     SELECT party, count(DISTINCT file) AS n_files, min(file) AS first_file FROM m GROUP BY party HAVING count(DISTINCT file) >= 2""")
 def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Parties that at least two files name."""
@@ -212,8 +214,8 @@ def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALIAS = r" \([“\"]([^”\"]{1,25})[”\"]\)"
-ALIASES = f"""al AS (SELECT file, unnest(range(len(a))) AS k, unnest(a) AS m FROM (SELECT file, regexp_extract_all({squeeze_sql('text')}, '{NAME}{ALIAS}') AS a FROM documents)),
-    an AS (SELECT file, k, trim(regexp_extract(m, '^({NAME})', 1)) AS party, lower(trim(regexp_extract(m, '{NAME}{ALIAS}', 1))) AS alias FROM al)"""
+ALIASES = f"""al AS (SELECT file, unnest(range(len(a))) AS k, unnest(a) AS m FROM (SELECT file, regexp_extract_all({squeeze_sql('text')}, '{SQL_NAME}{ALIAS}') AS a FROM documents)),
+    an AS (SELECT file, k, trim(regexp_extract(m, '^({SQL_NAME})', 1)) AS party, lower(trim(regexp_extract(m, '{SQL_NAME}{ALIAS}', 1))) AS alias FROM al)"""
 
 
 @query(f"""WITH {ALIASES} SELECT alias, arg_min(party, (file, k)) AS party FROM an WHERE length(alias) >= 2 AND alias NOT IN ('the company')
@@ -229,7 +231,7 @@ def alias_map(spark: SparkSession, d: str) -> DataFrame:
 
 AMOUNT = FILINGS["amount"]
 SENTENCES = f"""s AS (SELECT file, squeezed, unnest(string_split(squeezed, '. ')) AS s FROM (SELECT file, {squeeze_sql('text')} AS squeezed FROM documents)),
-    o AS (SELECT file, list_distinct(regexp_extract_all(s, '{NAME}')) AS n, list_distinct(regexp_extract_all(s, '{AMOUNT}')) AS a FROM s),
+    o AS (SELECT file, list_distinct(regexp_extract_all(s, '{SQL_NAME}')) AS n, list_distinct(regexp_extract_all(s, '{AMOUNT}')) AS a FROM s),
     f AS (SELECT file, n[1] AS party, unnest(a) AS amount FROM o WHERE len(n) = 1)"""
 
 

@@ -68,8 +68,8 @@ def verdict_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH c AS (SELECT DISTINCT id, claim FROM hypotheses), r AS (
-    SELECT id, claim, unnest(list_distinct(regexp_extract_all({squeeze_sql('claim')}, '{extract.NAME}'))) AS referent FROM c),
-    m AS (SELECT DISTINCT file, unnest(list_distinct(regexp_extract_all({squeeze_sql('text')}, '{extract.NAME}'))) AS referent FROM documents),
+    SELECT id, claim, unnest(list_distinct(regexp_extract_all({squeeze_sql('claim')}, '{extract.portable(extract.NAME)}'))) AS referent FROM c),
+    m AS (SELECT DISTINCT file, unnest(list_distinct(regexp_extract_all({squeeze_sql('text')}, '{extract.portable(extract.NAME)}'))) AS referent FROM documents),
     h AS (SELECT referent, count(*) AS n_files, list_sort(list(file))[:4] AS found_in FROM m GROUP BY referent)
     SELECT id, referent, CASE WHEN instr({squeeze_sql('claim')}, referent) < CASE WHEN regexp_matches({squeeze_sql('claim')}, '(?i)\\b{extract.QUALIFIER}\\b')
     THEN length(regexp_extract({squeeze_sql('claim')}, '(?i)^(.*?)\\b{extract.QUALIFIER}\\b', 1)) + 1 ELSE length({squeeze_sql('claim')}) + 1 END THEN 'HARD' ELSE 'SOFT' END AS severity,

@@ -34,14 +34,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
-    """A table whose rows are much work each: if it lies in fewer files than there are cores, it is spread over all of them.
+def texts(spark: SparkSession, folder: str, *columns: str, hold: bool = False) -> DataFrame:
+    """The documents, which are much work each: if they lie in fewer files than there are cores, they are spread over all of them.
 
-    Large tables have more files than that and are read as they lie.
+    Large tables have more files than that and are read as they lie. `hold` cuts a spread table, else
+    Catalyst moves costly native filters in front of the spreading, into the few tasks that scan.
     """
-    df = table(spark, folder, name)
+    df = table(spark, folder, "documents")
+    df = df.select(*columns) if columns else df
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    return cut(df.repartition(cores)) if hold else df.repartition(cores)
 
 
 def shared_folder(spark: SparkSession) -> str:
