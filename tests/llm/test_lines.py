@@ -1,6 +1,7 @@
 """Problem 4 against brute force and on its edge cases."""
 
 import itertools
+import random
 from collections import defaultdict
 
 import pyarrow.parquet as pq
@@ -80,6 +81,27 @@ def test_clusters_hold_all_alike_lines(spark, small, hot):
     assert near == {(r.doc_id, r.line_no): len(by[r.cluster]) for r in rows if len(by[r.cluster]) >= 6}
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_buckets_link_what_is_alike_and_nothing_else(spark, hot):
+    r = random.Random(1)
+    clause = " ".join(f"{a}{b}" for a in "abcde" for b in "vwxyz")
+    texts = sorted({f"{clause} {' '.join(r.choices(['one', 'two', 'three'], k=r.randint(0, 14)))}".strip() for _ in range(150)})
+    occ = lines.occurrences(make(spark, [("s", t) for t in texts])).cache()
+    keys = {r.line: r.n for r in occ.select("line", lines.node("form").alias("n")).collect()}
+    masked = {keys[key(t)]: runs(lines.mask(t.split())) for t in texts}
+    alike = lambda a, b: len(masked[a] & masked[b]) >= 0.8 * len(masked[a] | masked[b])
+    different = lines.different(occ)
+
+    def roots(hot):
+        links = lines.links(occ, different, hot)
+        assert all(alike(r.a, r.b) for r in links.collect())
+        return {tuple(r) for r in lines.components(links).collect()}
+
+    # With no bucket hot, each is paired in full.
+    full = roots(1_000_000)
+    assert full and roots(hot) == full
+
+
 def test_shingles_depend_on_the_text_alone():
     texts = ["a b c d e f g", "", "a b", "b c d e f", "a b c d e f g"]
     h, at = lines.shingles(texts)

@@ -9,12 +9,14 @@ Scale: one pass over the texts gives a narrow row per line (keys, no text); a
 masked form's text comes along once per task. Forms are hashed once for all
 sources. Different forms that share a bucket and a source are compared exactly
 (Jaccard of the five-word runs, 0.8 or more). A bucket with more than `hot`
-forms is taken apart by source first; one that has more within a source is not
-paired: each of its forms is linked to the bucket's least one, as sharing six
-minima says they are alike. So no bucket costs more than `hot` times its size,
-and no form is dropped. Lines that are
-equal in compared form are linked whatever their masks. Clusters are the
-connected components of these links.
+forms is taken apart by source first; one that has more within a source is
+taken apart by the rarest runs of each form, of which alike forms share one;
+what is large even then is compared with its least form, and only forms that
+are not alike to that one are paired with the rest, as far as their
+similarities to it allow. This loses no pair that shares a bucket, and no link
+is made without the exact check. Lines that are equal in compared form are
+linked whatever their masks. Clusters are the connected components of these
+links.
 
 Defined results: a null text or source has no lines; lines shorter than
 `min_chars` in compared form stay; a line that repeats within one document
@@ -232,6 +234,59 @@ def different(occ: DataFrame) -> DataFrame:
     )
 
 
+def counted() -> tuple[Column, Column]:
+    """The runs that the sets x and y share, and those of either."""
+    both = F.size(F.array_intersect("x", "y"))
+    return both, F.size("x") + F.size("y") - both
+
+
+def refined(many: DataFrame, forms: DataFrame) -> DataFrame:
+    """(source_key, bucket, run, form, size, n, least): each form under the rarest runs it has in its bucket.
+
+    Of `size` runs, all but a fifth are in every set that is alike; so if the runs of a bucket are put in one
+    order, alike sets share one of their first `size` / 5 + 1. The order is by rarity, which gives small parts.
+    """
+    key = ["source_key", "bucket"]
+    rows = many.select(*key, "form", "size").join(forms.select("form", F.explode("runs").alias("run")), "form")
+    rarity = rows.groupBy(*key, "run").agg(F.count("*").alias("held"))
+    first = F.slice(F.sort_array(F.collect_list(F.struct("held", "run"))), 1, F.first("size") - F.ceil(F.first("size") * SIMILAR - 1e-9).cast("int") + 1)
+    parts = stored(
+        rows.join(rarity, [*key, "run"]).groupBy(*key, "form").agg(F.first("size").alias("size"), first.alias("rare"))
+        .select(*key, "form", "size", F.explode("rare.run").alias("run"))
+    )
+    counts = parts.groupBy(*key, "run").agg(F.count("*").alias("n"), F.min("form").alias("least")).filter("n > 1")
+    return parts.join(counts, [*key, "run"]).select(*key, "run", "form", "size", "n", "least")
+
+
+def around_least(parts: DataFrame, forms: DataFrame) -> DataFrame:
+    """(source_key, form, other): candidates of large parts, enough for their connected components.
+
+    Forms alike to the part's least one are joined by it. All others meet every form whose distance to the
+    least one differs by no more than alike forms' can, as the Jaccard distance keeps the triangle inequality.
+    """
+    key = ["source_key", "bucket", "run"]
+    both, either = counted()
+    near = (
+        parts.select("form", "least").distinct()
+        .join(forms.select("form", F.col("runs").alias("x")), "form")
+        .join(forms.select(F.col("form").alias("least"), F.col("runs").alias("y")), "least")
+        .select("form", "least", (both / either).alias("near"))
+    )
+    parts = stored(parts.join(near, ["form", "least"]))
+    joined = F.col("near") >= SIMILAR - 1e-9
+    other = parts.select(*key, F.col("form").alias("other"), F.col("size").alias("other_size"), F.col("near").alias("other_near"))
+    apart = (
+        parts.filter(~joined).join(other, key)
+        # Two that are both not joined meet twice, once is enough.
+        .filter((F.col("form") < F.col("other")) | ((F.col("form") > F.col("other")) & (F.col("other_near") >= SIMILAR - 1e-9)))
+        .filter(F.least("size", "other_size") >= F.greatest("size", "other_size") * SIMILAR)
+        .filter(F.abs(F.col("near") - F.col("other_near")) <= 1 - SIMILAR + 1e-9)
+        .select("source_key", "form", "other")
+    )
+    stars = parts.filter(joined & (F.col("form") > F.col("least"))).select("source_key", "form", F.col("least").alias("other"))
+    return apart.unionByName(stars).select("source_key", F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other"))
+
+
 def links(occ: DataFrame, lines: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs of nodes (a, b) that are alike."""
     texts = occ.filter("masked IS NOT NULL").groupBy("form").agg(F.first("masked").alias("masked"))
@@ -255,26 +310,24 @@ def links(occ: DataFrame, lines: DataFrame, hot: int = HOT) -> DataFrame:
         .select("source_key", F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other"))
     )
 
-    # Large buckets are taken apart by source; what is large in a source as well is linked as a star.
+    # Large buckets are taken apart by source, what is large in a source as well by rare runs.
     inside = keyed.filter(F.col("n") > hot).select("bucket", "form", "size").join(held, "form")
-    sizes = inside.groupBy("source_key", "bucket").agg(F.count("*").alias("n"), F.min("form").alias("least")).filter("n > 1")
+    sizes = inside.groupBy("source_key", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
     inside = stored(inside.join(sizes, ["source_key", "bucket"]))
-    stars = inside.filter((F.col("n") > hot) & (F.col("form") > F.col("least"))).select(
-        node("form").alias("a"), node("least").alias("b")
-    )
-    few = inside.filter(F.col("n") <= hot).select("source_key", "bucket", "form", "size")
+    fine = stored(refined(inside.filter(F.col("n") > hot), forms))
+    few = inside.withColumn("run", F.lit(0)).unionByName(fine.drop("least")).filter(F.col("n") <= hot).drop("n")
     own = (
-        few.join(few.withColumnsRenamed({"form": "other", "size": "other_size"}), ["source_key", "bucket"])
+        few.join(few.withColumnsRenamed({"form": "other", "size": "other_size"}), ["source_key", "bucket", "run"])
         .filter("form < other").filter(close).select("source_key", "form", "other")
     )
-    pairs = stored(met.unionByName(own).distinct())
+    pairs = stored(met.unionByName(own).unionByName(around_least(fine.filter(F.col("n") > hot).drop("n"), forms)).distinct())
     # Whether two forms are alike is decided once, whatever the number of sources that have both.
-    both, either = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    both, either = counted()
     checked = (
         pairs.select("form", "other").distinct()
         .join(forms.select("form", F.col("runs").alias("x")), "form")
         .join(forms.select(F.col("form").alias("other"), F.col("runs").alias("y")), "other")
-        .filter(both >= (either - both) * SIMILAR)
+        .filter(both >= either * SIMILAR)
         .select("form", "other")
     )
     verified = pairs.join(checked, ["form", "other"]).select(node("form").alias("a"), node("other").alias("b"))
@@ -284,7 +337,7 @@ def links(occ: DataFrame, lines: DataFrame, hot: int = HOT) -> DataFrame:
         occ.select("source_key", "line", "form").join(equal, ["source_key", "line"]).filter("form > least")
         .select(node("form").alias("a"), node("least").alias("b")).distinct()
     )
-    return verified.unionByName(stars).unionByName(equals)
+    return verified.unionByName(equals)
 
 
 def clustered(docs: DataFrame, min_chars: int = MIN_CHARS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
