@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from datetime import date
 from difflib import SequenceMatcher
 
@@ -12,6 +13,7 @@ from tracewright.functions import records
 from tracewright.functions import text as T
 from tracewright.operators import claims, extract, panel, passages, verify
 from tracewright.operators.bands import band_pairs
+from tracewright.plans import ledger
 from tracewright.sources import corpus, filed
 
 # Functions
@@ -131,6 +133,30 @@ def test_matches_tell_equal_matches_apart(spark):
     assert [tuple(r) for r in sorted(rows)] == [(0, 0, " xx", ""), (1, 6, " yy", "x "), (2, 12, "", "y ")]
 
 
+def test_repeated_statements_each_have_their_place(spark, tmp_path):
+    share = "Ulmo Harbor LLC and Fenn Works Inc. together made up 31.5% of quarterly income, against 28.0%"
+    deal = "Ulmo Harbor LLC handed over 1,200 preferred units against an open fee of $45,000, which the board priced at $1.25 each"
+    rate = "Rates run from ${} to $90,000 per raise; Fenn Works Inc. was charged $50,000"
+    texts = {
+        "a": f"On March 1, 2020 {share}. {'x ' * 200}On June 2, 2021 {share}. {share}. " + "y " * 200 + share,
+        "b": f"{deal}. {rate.format('10,000')}. {'x ' * 700}{deal}. {deal}. {rate.format('20,000')}. {'y ' * 700}{deal}",
+        "c": f"May 3, 2019 {share} {deal}",
+    }
+    spark.createDataFrame(list(texts.items()), "file string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(pattern, of):
+        flat = {f: " ".join(t.split()) for f, t in texts.items()}
+        return sorted((f, k, of(t, m)) for f, t in flat.items() for k, m in enumerate(re.finditer(pattern, t)))
+
+    rates = re.compile(extract.FILINGS["rate"].replace(extract.NAME, "[A-Z].*?"))
+    periods = brute(re.escape(share), lambda t, m: (re.findall(extract.FILINGS["date"], t[max(0, m.start() - 300) : m.start()]) or [""])[-1])
+    lows = brute(re.escape(deal), lambda t, m: (rates.findall(t[m.end() : m.end() + 1200]) or [(None,)])[0][0])
+    assert [p for _, _, p in periods] == ["March 1, 2020", "June 2, 2021", "June 2, 2021", "", "May 3, 2019"]
+    assert [x for _, _, x in lows] == ["10,000", "20,000", "20,000", None, None]
+    assert sorted(tuple(r) for r in ledger.preceding_period(spark, str(tmp_path)).collect()) == periods
+    assert sorted(tuple(r) for r in ledger.trailing_rate(spark, str(tmp_path)).collect()) == lows
+
+
 def test_sentence_around():
     t = "First one. Second with 5,000 units; and more. Third."
     i = t.index("5,000")

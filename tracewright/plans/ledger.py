@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import number, significant_digits, squashed
@@ -117,23 +117,19 @@ def concentration_share(spark: SparkSession, d: str) -> DataFrame:
         QUALIFY count(*) OVER (PARTITION BY file, m) = 1)
     SELECT file, k::INT AS k, coalesce(regexp_extract_all(substring(text, greatest(start - 299, 1), least(start, 300)), '{DATE}')[-1], '') AS period FROM p""")
 def preceding_period(spark: SparkSession, d: str) -> DataFrame:
-    """The last date in the 300 characters in front of each stated share (statements made once per file)."""
+    """The last date in the 300 characters in front of each stated share; the SQL leaves out statements repeated in a file."""
     m = extract.matches(_docs(spark, d), FILINGS["concentration"], {}, extract.WORDS["concentration"])
     dates = F.regexp_extract_all(extract.before(300), F.lit(FILINGS["date"]), F.lit(0))
-    once = F.count("*").over(Window.partitionBy("file", "m")) == 1
-    return m.withColumn("once", once).filter("once").select("file", "k", F.coalesce(F.try_element_at(dates, F.lit(-1)), F.lit("")).alias("period"))
+    return m.select("file", "k", F.coalesce(F.try_element_at(dates, F.lit(-1)), F.lit("")).alias("period"))
 
 
 @query(f"""WITH {_matches_sql(EQ)}, p AS (SELECT file, k, m, instr(text, m) - 1 AS start, text FROM x
         QUALIFY count(*) OVER (PARTITION BY file, m) = 1)
     SELECT file, k::INT AS k, nullif(regexp_extract(substring(text, start + 1 + length(m), 1200), '{RATE}', 1), '') AS low FROM p""")
 def trailing_rate(spark: SparkSession, d: str) -> DataFrame:
-    """The first rate in the 1,200 characters behind each deal (deals stated once per file)."""
+    """The first rate in the 1,200 characters behind each deal; the SQL leaves out deals repeated in a file."""
     m = extract.matches(_docs(spark, d), FILINGS["equity"], {}, extract.WORDS["equity"])
-    once = F.count("*").over(Window.partitionBy("file", "m")) == 1
-    return m.withColumn("once", once).filter("once").select(
-        "file", "k", F.nullif(F.regexp_extract(extract.tail(1200), FILINGS["rate"], 1), F.lit("")).alias("low")
-    )
+    return m.select("file", "k", F.nullif(F.regexp_extract(extract.tail(1200), FILINGS["rate"], 1), F.lit("")).alias("low"))
 
 
 RATES = f"""{_matches_sql(RATE, 'z')}, rates AS (SELECT {_num_sql(f"regexp_extract(m, '{RATE}', 1)")} AS low, {_num_sql(f"regexp_extract(m, '{RATE}', 2)")} AS high,
