@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import events
+from tracewright.plans import events as plans
 from tracewright.session import clear_stored, stored
 from tracewright.streaming import log
 
@@ -63,6 +64,18 @@ def test_late_events_are_dropped_after_the_watermark(spark, tmp_path):
     assert [(r.start, r.n) for r in got.collect()][0][0] == T
 
 
+def test_windows_do_not_depend_on_the_files(spark, tmp_path):
+    e = rows(spark, *((i, 97 * i, i % 5, "ab"[i % 2], 1.0) for i in range(200)))
+    got = []
+    for parts in (1, 12):
+        (e.coalesce(1) if parts == 1 else e.repartition(parts, "event_id")).write.parquet(f"{tmp_path}/{parts}/events.parquet")
+        got.append(sorted(tuple(r) for r in plans.stream_windows(spark, f"{tmp_path}/{parts}").select("start", "event_type", "n").collect()))
+    batch = e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    final = batch.filter(F.col("w.end") <= T + timedelta(minutes=97 * 199) - timedelta(hours=1))
+    assert got[0] == got[1] == sorted(tuple(r) for r in final.select("w.start", "event_type", "n").collect())
+    assert got[0]
+
+
 def test_stored_tables_keep_schema_and_go_away(spark):
     df = spark.createDataFrame([(1, None, [1, 2])], "a long, b string, c array<int>")
     kept = stored(df)

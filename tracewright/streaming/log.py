@@ -18,10 +18,16 @@ from pyspark.sql.types import StructType
 from tracewright.session import shared_folder
 
 
-def tail(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    """The log from its beginning, then what is added; times become TIMESTAMP, which watermarks need."""
+def tail(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = 1) -> DataFrame:
+    """The log from its beginning, then what is added; times become TIMESTAMP, which watermarks need.
+
+    With `files_per_batch` None all files that are there are one batch: with a watermark, files that are
+    not cut by time must come so, else the first moves it past the rows of the others.
+    """
     # As a pattern the path may be one file as well as a folder of files.
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    rows = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
