@@ -371,7 +371,8 @@ def repeated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHA
 def same(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, source_key, line_no, line) of the lines whose very compared form stands in `min_docs` documents.
 
-    They are looked for in the clusters that are large enough; equal lines are in one cluster.
+    They are looked for in the clusters that are large enough; equal lines are in one cluster, so the
+    line's own count alone decides.
     """
     occ, lines = clustered(docs, min_chars)
     kept = lines.join(_large(lines, min_docs), "cluster", "left_semi").filter(F.col("line_docs") >= min_docs)
