@@ -1,92 +1,93 @@
 """Problem 5: schemas that drift between the files of a series.
 
-Records are parsed once into (field, type, value) facts; from there everything
-is joins and aggregates over facts and over the much smaller field profiles.
-
-Method: the schemas of a file and its predecessor are graphs of fields, types
-and nesting. Similarity flooding starts from name similarity, passes scores
-along the pairwise connectivity graph (same type, same parent) until they stop
-changing, and the consistent one-to-one correspondences are selected from the
-result. Flooding works on one file pair's fields at a time, never on its
-records: a group is as large as a schema. A correspondence is reported as
-`renamed` only if the exact check holds as well: one common type and equal
-values on every run both files hold.
-
-Defined results: `raw` that is null, empty or no JSON object is ignored; a
-field with nulls only has no type and is never retyped; repeated records count
-once, and of several records of one run the one with the last line number
-counts; values equal as numbers, not as spellings; a pair of files without a
-common run has no renames; a file without usable records has no fields; empty
-input gives no rows.
+Method: similarity flooding. The schemas of a file and its predecessor are
+graphs of fields with their types, parents and the words of their names. Pairs
+of like nodes form the connectivity graph; scores start from name similarity,
+are passed along it until they stop changing, and all pairs of a gone and a new
+field of one type are then proposed in order of their scores, one to one. A
+proposal is accepted as `renamed` if the exact check holds as well: equal
+values on every run both files hold. A rejected one leaves both fields free for
+the next best proposal.
+
+Scale: records are parsed in the JVM. Schemas are aggregated to one row per
+file, and all decisions are made on one row per file pair, as wide as a schema
+and independent of the number of records. Values are read only of files with
+both gone and new fields, and of those fields only; a field's values on the
+common runs become a digest by a hash aggregate over (file pair, side, field),
+filled from rows that are spread by (file pair, run).
+
+Defined results: `raw` that is null, empty, no JSON object, followed by
+anything else, or with a key twice in one object is ignored; a field with nulls
+only has no type and is never retyped; repeated records count once, and of
+several records of one run the one with the last line number counts; values
+are equal as numbers, not as spellings (in arrays and objects, numbers with an
+exponent equal only such numbers); a pair of files without a common run has no
+renames; a file without usable records has no fields; empty input gives no
+rows.
 """
 
 from __future__ import annotations
 
-import json
-from decimal import Decimal
+import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import cut
-
-FACTS = "array<struct<field:string,type:string,value:string>>"
-PARSED = f"struct<run:string,facts:{FACTS}>"
-
-
-def kind(v) -> str | None:
-    if v is None:
-        return None
-    if isinstance(v, bool):
-        return "boolean"
-    return {str: "string", list: "array", dict: "object"}.get(type(v), "number")
-
-
-def plain(v) -> str | None:
-    """A spelling that is equal for equal values: 1, 1.0 and 1e0 are one number."""
-    if v is None:
-        return None
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, str):
-        return v
-    if isinstance(v, (int, Decimal)):
-        d = Decimal(v)
-        return str(d) if not d.is_finite() else format(d.normalize() if d else Decimal(0), "f")
-    if isinstance(v, list):
-        return "[" + ",".join(json.dumps(plain(x)) if isinstance(x, str) else str(plain(x)) for x in v) + "]"
-    return "{" + ",".join(f"{json.dumps(k)}:{json.dumps(x) if isinstance(x, str) else plain(x)}" for k, x in sorted(v.items())) + "}"
-
-
-def parse(raw: str | None, nested: str):
-    """(run, facts) of one record, or None if it is no JSON object."""
-    try:
-        o = json.loads(raw, parse_float=Decimal) if raw else None
-    except (ValueError, RecursionError):
-        return None
-    if not isinstance(o, dict):
-        return None
-    facts = [(k, kind(v), plain(v)) for k, v in o.items()]
-    if isinstance(o.get(nested), dict):
-        facts += [(f"{nested}.{k}", kind(v), plain(v)) for k, v in o[nested].items()]
-    return plain(o.get("run")), [dict(zip(("field", "type", "value"), f)) for f in facts]
-
-
-def facts(raw: DataFrame, nested: str = "counts") -> DataFrame:
-    """One row per record and field: series, bench_file, line_no, run, field, type, value."""
-
-    @F.pandas_udf(PARSED)
-    def parsed(s: pd.Series) -> pd.DataFrame:
-        got = [parse(x, nested) or (None, None) for x in s]
-        return pd.DataFrame({"run": [g[0] for g in got], "facts": [g[1] for g in got]})
+from tracewright.session import cut, stored
 
-    return (
-        raw.select("series", "bench_file", "line_no", parsed("raw").alias("p"))
-        .filter("p.facts IS NOT NULL")
-        .select("series", "bench_file", "line_no", "p.run", F.inline("p.facts"))
+def records(raw: DataFrame, nested: str = "counts") -> DataFrame:
+    """One row per usable record: bench_file, line_no, run, entries (key, value, kind), parsed once and stored.
+
+    The entries are the top-level keys and, as `nested.key`, those inside one of them.
+    """
+    # The parser stops at the end of a value; what else may follow breaks one of the two frames.
+    framed = raw.select(
+        "bench_file", "line_no", F.try_parse_json(F.concat(F.lit("["), "raw", F.lit("]"))).alias("list"),
+        F.try_parse_json(F.concat(F.lit('{"o":'), "raw", F.lit("}"))).alias("field"),
     )
+    single = F.startswith(F.schema_of_variant("list"), F.lit("ARRAY<OBJECT<")) & F.try_variant_get("list", "$[1]", "variant").isNull() & F.col("field").isNotNull()
+    objects = stored(framed.select("bench_file", "line_no", F.when(single, F.try_variant_get("field", "$.o", "variant")).alias("o"))).filter("o IS NOT NULL")
+    inner = F.map_entries(F.try_variant_get("o", f"$.{nested}", "map<string,variant>"))
+    named = F.transform(inner, lambda e: F.struct(F.concat(F.lit(f"{nested}."), e["key"]).alias("key"), e["value"].alias("value")))
+    every = F.concat(F.map_entries(F.col("o").try_cast("map<string,variant>")), F.coalesce(named, F.array().cast("array<struct<key:string,value:variant>>")))
+    run = F.array(F.struct(F.lit("run").alias("key"), F.try_variant_get("o", "$.run", "variant").alias("value")))
+    return objects.select("bench_file", "line_no", plain(run)[0]["value"].alias("run"), every.alias("entries"))
+
+
+KINDS = {"BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+
+
+def kinds(entries: Column) -> Column:
+    """(field, type) of each entry: number, string, boolean, array or object; NULL of a null."""
+    named = F.transform(entries, lambda e: F.struct(e["key"].alias("field"), F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0).alias("name")))
+    known = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return F.transform(named, lambda e: F.struct(e["field"].alias("field"), F.try_element_at(known, e["name"]).alias("type")))
+
+
+def plain(entries: Column) -> Column:
+    """(field, type, value) of each entry; values are spelled alike if they are equal: 1, 1.0 and 1e0 are one number."""
+    shape = F.transform(entries, lambda e: F.struct(
+        e["key"].alias("key"), F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0).alias("name"), e["value"].try_cast("string").alias("text")
+    ))
+    exact = F.transform(shape, lambda e: F.struct(
+        e["key"].alias("key"), e["name"].alias("name"),
+        F.when(e["name"] == "DOUBLE", F.coalesce(e["text"].try_cast("decimal(38,18)").cast("string"), e["text"])).otherwise(e["text"]).alias("text"),
+    ))
+    # Texts of arrays and objects have their keys in order and decimals without zeros at the end.
+    fraction = lambda e: e["name"].isin("DECIMAL", "DOUBLE", "FLOAT") & F.contains(e["text"], F.lit("."))
+    known = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return F.transform(exact, lambda e: F.struct(
+        e["key"].alias("field"), F.try_element_at(known, e["name"]).alias("type"),
+        F.when(fraction(e), F.rtrim(F.rtrim(e["text"], F.lit("0")), F.lit("."))).otherwise(e["text"]).alias("value"),
+    ))
+
+
+def schemas(recs: DataFrame) -> DataFrame:
+    """One row per file: its fields, each with the types it has."""
+    types = recs.select("bench_file", F.inline(kinds(F.col("entries")))).groupBy("bench_file", "field").agg(F.sort_array(F.collect_set("type")).alias("types"))
+    return types.groupBy("bench_file").agg(F.map_from_entries(F.collect_list(F.struct("field", "types"))).alias("fields"))
 
 
 def file_order(raw: DataFrame) -> DataFrame:
@@ -112,135 +113,168 @@ def file_order(raw: DataFrame) -> DataFrame:
     )
 
 
-def profiles(f: DataFrame) -> DataFrame:
-    """Types of each field of each file; `type` only where there is exactly one."""
-    return (
-        f.groupBy("bench_file", "field")
-        .agg(F.sort_array(F.collect_set("type")).alias("types"))
-        .withColumn("type", F.when(F.size("types") == 1, F.col("types")[0]))
+# Fields of one side: their single type, and how their values on the common runs read.
+FIELDS = "array<struct<field:string,type:string,digest:string>>"
+
+
+def file_pairs(raw: DataFrame, recs: DataFrame) -> DataFrame:
+    """One row per file with a predecessor: gone, new and stay (arrays of fields), was and now (types by field)."""
+    s = schemas(recs)
+    none = F.create_map().cast("map<string,array<string>>")
+    both = (
+        file_order(raw).filter("prev_file IS NOT NULL").select("bench_file", "prev_file")
+        .join(s.withColumnRenamed("fields", "now"), "bench_file", "left")
+        .join(s.select(F.col("bench_file").alias("prev_file"), F.col("fields").alias("was")), "prev_file", "left")
+        .select("bench_file", "prev_file", F.coalesce("was", none).alias("was"), F.coalesce("now", none).alias("now"))
+    )
+    names = {"gone": F.array_except(F.map_keys("was"), F.map_keys("now")), "new": F.array_except(F.map_keys("now"), F.map_keys("was")), "stay": F.array_intersect(F.map_keys("was"), F.map_keys("now"))}
+    return both.withColumns({k: F.sort_array(v) for k, v in names.items()})
+
+
+def digests(pairs: DataFrame, recs: DataFrame) -> DataFrame:
+    """(bench_file, digest): by `gone` or `new` and field, what the field's values on the common runs are.
+
+    Fields without a value on any common run are not in the map; a pair of files without a common run has no row.
+    """
+    some = pairs.filter("size(gone) > 0 AND size(new) > 0")
+    side = lambda name, by: recs.join(
+        some.select(F.col("bench_file").alias("pair"), F.col(by).alias("bench_file"), F.col(name).alias("wanted")), "bench_file"
+    ).filter("run IS NOT NULL").select("pair", "run", F.lit(name).alias("side"), "line_no", plain(
+        F.filter("entries", lambda e: F.array_contains("wanted", e["key"]))
+    ).alias("values"))
+    last = lambda name: F.max_by("values", F.when(F.col("side") == name, F.struct("line_no", "values")))
+    runs = (
+        side("gone", "prev_file").unionByName(side("new", "bench_file")).groupBy("pair", "run")
+        .agg(last("gone").alias("gone"), last("new").alias("new")).filter("gone IS NOT NULL AND new IS NOT NULL")
+    )
+    # One marker per run keeps pairs whose gone and new fields have no values there.
+    marked = lambda name: F.transform(name, lambda v: F.struct(F.lit(name).alias("side"), v["field"].alias("field"), v["value"].alias("value")))
+    marker = F.array(F.struct(F.lit("run").alias("side"), F.lit("").alias("field"), F.lit("").alias("value")))
+    values = runs.select("pair", "run", F.inline(F.concat(marked("gone"), marked("new"), marker))).filter("value IS NOT NULL")
+    # A run is there once per field, so the exclusive or of hashes tells sets of (run, value) apart.
+    code = lambda seed: F.hex(F.bit_xor(F.xxhash64(F.lit(seed), "run", "value")))
+    one = values.groupBy("pair", "side", "field").agg(F.concat_ws(":", F.count("*"), code(1), code(2)).alias("digest"))
+    return one.groupBy(F.col("pair").alias("bench_file")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "side", "field"), "digest"))).alias("digests")
     )
 
 
 def grams(name: str) -> set[str]:
-    s = f"  {name.lower().replace('_', '')} "
+    s = f"  {name.lower()} "
     return {s[i : i + 3] for i in range(len(s) - 2)}
 
 
-def flood(pairs: pd.DataFrame, rounds: int = 50, eps: float = 1e-4) -> pd.DataFrame:
-    """Similarity flooding over one file pair.
+def alike(a: str, b: str) -> float:
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+WORD = re.compile(r"[A-Z]?[^A-Z_\W]+|[A-Z]+")
 
-    Nodes are the field pairs plus one node per type pair and parent pair they
-    share; each round a node passes its score to its neighbours in equal parts,
-    is added to its start value and rescaled by the largest score.
+
+def flood(pairs: list[tuple[str, str, str]], eps: float = 1e-4) -> np.ndarray:
+    """Converged scores of pairs (old field, new field, type).
+
+    The graph's nodes are these pairs and the pairs of types, parents and words that they meet in. In each
+    round a node passes its score to its neighbours in equal parts, is added to its start value and rescaled
+    by the largest score; as no more than a node's own score is passed on, the rounds converge.
     """
-    left, right = pairs["field"].tolist(), pairs["new_field"].tolist()
-    start = []
-    for a, b in zip(left, right):
-        x, y = grams(a.rpartition(".")[2]), grams(b.rpartition(".")[2])
-        start.append(len(x & y) / len(x | y))
-    hubs: dict[tuple, int] = {}
-    edges = []
-    for i, (a, b, t) in enumerate(zip(left, right, pairs["type"])):
-        for hub in (("type", t), ("parent", a.rpartition(".")[0], b.rpartition(".")[0])):
-            edges.append((i, len(left) + hubs.setdefault(hub, len(hubs))))
-    # A pair of unlike parents starts at 0, so nesting that stays counts for a pair.
-    zero = np.array(start + [float(h[0] == "type" or h[1] == h[2]) for h in hubs])
+    start: list[float] = []
+    index: dict[tuple, int] = {}
+    edges: list[tuple[int, int]] = []
+
+    def node(key: tuple, value: float) -> int:
+        if key not in index:
+            index[key] = len(start)
+            start.append(value)
+        return index[key]
+
+    for a, b, t in pairs:
+        (pa, _, na), (pb, _, nb) = a.rpartition("."), b.rpartition(".")
+        i = node(("field", a, b), alike(na, nb))
+        edges += [(i, node(("type", t), 1.0)), (i, node(("parent", pa, pb), float(pa == pb)))]
+        edges += [(i, node(("word", x, y), alike(x, y))) for x in WORD.findall(na) for y in WORD.findall(nb)]
+    zero = np.array(start)
     a, b = np.array(edges).T
     degree = np.bincount(np.concatenate([a, b]), minlength=len(zero))
     s = zero.copy()
-    for _ in range(rounds):
-        new = zero + np.bincount(b, s[a] / degree[a], len(zero)) + np.bincount(a, s[b] / degree[b], len(zero)) + s
-        new /= max(new.max(), 1e-12)
-        done = np.abs(new - s).max() < eps
+    while True:
+        new = zero + s + np.bincount(b, s[a] / degree[a], len(zero)) + np.bincount(a, s[b] / degree[b], len(zero))
+        new /= new.max()
+        if np.abs(new - s).max() < eps:
+            return new[[index["field", x, y] for x, y, _ in pairs]]
         s = new
-        if done:
-            break
-    return pairs.assign(score=s[: len(left)])
 
 
-def select(groups: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one correspondences, best scores first, of the pairs whose values agree."""
-    out = flood(groups)
-    out = out[out["agrees"].astype(bool)].sort_values(["score", "field", "new_field"], ascending=[False, True, True])
-    gone, new, keep = set(), set(), []
-    for a, b in zip(out["field"], out["new_field"]):
-        keep.append(a not in gone and b not in new)
-        if keep[-1]:
-            gone.add(a)
-            new.add(b)
-    return out[np.array(keep, dtype=bool)][["bench_file", "field", "new_field", "score"]]
+def correspond(gone, new, stay) -> list[dict]:
+    """Renames of one file pair: the best proposal by flooding is checked, accepted or rejected, then the next."""
+    proposals = [(g["field"], n["field"], g["type"]) for g in gone for n in new if g["type"] == n["type"]]
+    if not proposals:
+        return []
+    # Fields that stay correspond to themselves and anchor their types, parents and words.
+    scores = flood([*proposals, *((s["field"], s["field"], s["type"]) for s in stay)])
+    was, now = ({f["field"]: f["digest"] for f in side} for side in (gone, new))
+    out: dict[str, tuple[str, float]] = {}
+    taken: set[str] = set()
+    for k in sorted(range(len(proposals)), key=lambda k: (-round(float(scores[k]), 6), proposals[k])):
+        x, y, _ = proposals[k]
+        if x not in out and y not in taken and was[x] == now[y]:
+            out[x] = (y, float(scores[k]))
+            taken.add(y)
+    return [{"field": x, "new_field": y, "score": s} for x, (y, s) in out.items()]
 
 
-def changes(raw: DataFrame, nested: str = "counts") -> DataFrame:
+RENAMES = "array<struct<field:string,new_field:string,score:double>>"
+
+
+def changes(raw: DataFrame, nested: str = "counts", recs: DataFrame | None = None) -> DataFrame:
     """Every change of a file against the preceding one of its series, with a rename's score."""
-    f = cut(facts(raw, nested))
-    order = cut(file_order(raw).filter("prev_file IS NOT NULL").select("bench_file", "prev_file"))
-    prof = profiles(f)
-    now = order.join(prof, "bench_file").select("bench_file", "field", F.col("types").alias("now_types"), F.col("type").alias("now_type"))
-    before = order.join(prof.withColumnRenamed("bench_file", "prev_file"), "prev_file").select(
-        "bench_file", "field", F.col("types").alias("old_types"), F.col("type").alias("old_type")
-    )
-    both = cut(now.join(before, ["bench_file", "field"], "full"))
-    gone = both.filter("now_types IS NULL").select("bench_file", "field", "old_type")
-    new = both.filter("old_types IS NULL").select("bench_file", F.col("field").alias("new_field"), "now_type")
-    # Pairs of schema fields: as many as the schemas are wide, whatever the number of records.
-    pairs = (
-        gone.join(new, "bench_file")
-        .filter("old_type = now_type")
-        .select("bench_file", "field", "new_field", F.col("now_type").alias("type"))
-    )
-    # The value of each gone or new field on each run, the last line of a run first.
-    last = F.max_by("value", "line_no").alias("value")
-    in_prev = order.join(f.withColumnRenamed("bench_file", "prev_file"), "prev_file")
-    in_now = order.join(f, "bench_file")
-    runs = (
-        in_prev.filter("run IS NOT NULL").select("bench_file", "run").distinct()
-        .join(in_now.filter("run IS NOT NULL").select("bench_file", "run").distinct(), ["bench_file", "run"])
-    )
-    old_values = in_prev.join(gone, ["bench_file", "field"], "left_semi").groupBy("bench_file", "run", "field").agg(last)
-    new_values = (
-        in_now.withColumnRenamed("field", "new_field").join(new, ["bench_file", "new_field"], "left_semi")
-        .groupBy("bench_file", "run", "new_field").agg(F.max_by("value", "line_no").alias("new_value"))
-    )
-    agreed = (
-        pairs.join(runs, "bench_file")
-        .join(old_values, ["bench_file", "run", "field"], "left")
-        .join(new_values, ["bench_file", "run", "new_field"], "left")
-        .groupBy("bench_file", "field", "new_field", "type")
-        .agg(F.bool_and(F.col("value").eqNullSafe(F.col("new_value"))).alias("agrees"))
+    recs = records(raw, nested) if recs is None else recs
+    pairs = cut(file_pairs(raw, recs))
+    d = digests(pairs, recs)
+    single = lambda types, f: F.try_element_at(types, f)
+    fields = lambda name, types: F.filter(F.transform(name, lambda f: F.struct(
+        f.alias("field"), F.when(F.size(single(F.col(types), f)) == 1, single(F.col(types), f)[0]).alias("type"),
+        F.coalesce(F.try_element_at("digests", F.concat(F.lit(f"{name} "), f)), F.lit("none")).alias("digest"),
+    )), lambda x: x["type"].isNotNull()).cast(FIELDS)
+    same = F.filter(fields("stay", "now"), lambda x: single(F.col("was"), x["field"]) == single(F.col("now"), x["field"]))
+
+    @F.pandas_udf(RENAMES)
+    def renames(gone: pd.Series, new: pd.Series, stay: pd.Series) -> pd.Series:
+        return pd.Series([correspond(*x) for x in zip(gone, new, stay)], dtype=object)
+
+    # Some rows are much work each; they are spread over all cores, as few bytes would else be one task.
+    matched = (
+        pairs.join(d, "bench_file").repartition(pairs.sparkSession.sparkContext.defaultParallelism)
+        .select("bench_file", renames(fields("gone", "was"), fields("new", "now"), same).alias("renamed"))
     )
-    # Fields that stay take part in the flooding as anchors of their types and parents.
-    stay = both.filter("now_type = old_type").select(
-        "bench_file", "field", F.col("field").alias("new_field"), F.col("now_type").alias("type"), F.lit(False).alias("agrees")
+    rows = pairs.join(matched, "bench_file", "left").withColumn("renamed", F.coalesce("renamed", F.array().cast(RENAMES)))
+    change = lambda name, c, to=F.lit(""), score=F.lit(None).cast("double"): F.struct(
+        F.lit(name).alias("change"), c.alias("field"), to.alias("new_field"), score.alias("score")
     )
-    graph = agreed.unionByName(stay.join(agreed.filter("agrees").select("bench_file").distinct(), "bench_file", "left_semi"))
-    renamed = cut(
-        graph.groupBy("bench_file").applyInPandas(select, "bench_file string, field string, new_field string, score double")
+    typed = lambda f: F.size(single(F.col("was"), f)) * F.size(single(F.col("now"), f)) > 0
+    every = F.concat(
+        F.transform("renamed", lambda r: change("renamed", r["field"], r["new_field"], r["score"])),
+        F.transform(F.array_except("gone", F.col("renamed.field")), lambda f: change("removed", f)),
+        F.transform(F.array_except("new", F.col("renamed.new_field")), lambda f: change("added", f)),
+        F.transform(F.filter("stay", lambda f: typed(f) & (single(F.col("was"), f) != single(F.col("now"), f))), lambda f: change("retyped", f)),
     )
-    dropped = gone.join(renamed, ["bench_file", "field"], "left_anti").select("bench_file", F.lit("removed").alias("change"), "field")
-    added = new.join(renamed, ["bench_file", "new_field"], "left_anti").select(
-        "bench_file", F.lit("added").alias("change"), F.col("new_field").alias("field")
-    )
-    retyped = both.filter("size(now_types) > 0 AND size(old_types) > 0 AND now_types <> old_types").select(
-        "bench_file", F.lit("retyped").alias("change"), "field"
-    )
-    rest = dropped.unionByName(added).unionByName(retyped).withColumn("new_field", F.lit("")).withColumn("score", F.lit(None).cast("double"))
-    return renamed.withColumn("change", F.lit("renamed")).unionByName(rest)
+    return rows.select("bench_file", F.inline(every))
 
 
 def found(raw: DataFrame) -> DataFrame:
     return changes(raw).select("bench_file", "change", "field", "new_field")
 
 
-def last_names(raw: DataFrame, nested: str = "counts") -> DataFrame:
-    """The name that each renamed field ends up with in its series.
+def last_names(raw: DataFrame, recs: DataFrame) -> DataFrame:
+    """(series, field, at, name): the name that each field renamed at some time ends up with in its series.
 
     Renames chain over files; each round every rename takes over the target of
     the next rename of its new name, so a chain of n needs log2(n) rounds.
     """
     order = file_order(raw).select("series", "bench_file", "exported_at")
     steps = cut(
-        changes(raw, nested).filter("change = 'renamed'").join(order, "bench_file")
+        changes(raw, recs=recs).filter("change = 'renamed'").join(order, "bench_file")
         .select("series", "field", F.struct("exported_at", "bench_file").alias("at"), F.col("new_field").alias("name"))
         .withColumn("upto", F.col("at"))
     )
@@ -248,7 +282,7 @@ def last_names(raw: DataFrame, nested: str = "counts") -> DataFrame:
         nxt = steps.select("series", F.col("field").alias("name"), F.col("at").alias("nat"), F.col("upto").alias("nupto"), F.col("name").alias("nname"))
         joined = steps.join(nxt, ["series", "name"], "left")
         best = joined.groupBy("series", "field", "at").agg(
-            F.first("name").alias("name"), F.first("upto").alias("upto"),
+            F.min("name").alias("name"), F.min("upto").alias("upto"),
             F.min(F.when(F.col("nat") > F.col("upto"), F.struct("nat", "nname", "nupto"))).alias("n"),
         )
         steps = cut(best.select(
@@ -260,37 +294,70 @@ def last_names(raw: DataFrame, nested: str = "counts") -> DataFrame:
         steps = steps.drop("moved")
 
 
+def file_fields(raw: DataFrame, recs: DataFrame) -> DataFrame:
+    """(bench_file, field, series, at, name): each field of each file with its last name, found on schemas, not on records."""
+    order = file_order(raw).select("series", "bench_file", F.struct("exported_at", "bench_file").alias("file_at"))
+    s = schemas(recs).select("bench_file", F.explode(F.map_keys("fields")).alias("field")).join(order, "bench_file")
+    later = F.when(F.col("at") > F.col("file_at"), F.struct("at", "name"))
+    return (
+        s.join(last_names(raw, recs), ["series", "field"], "left").groupBy("bench_file", "field")
+        .agg(F.min("series").alias("series"), F.min("file_at").alias("at"), F.min(later).alias("n"))
+        .select("bench_file", "field", "series", "at", F.coalesce("n.name", "field").alias("name"))
+    )
+
+
+def values(raw: DataFrame, nested: str = "counts") -> DataFrame:
+    """(series, run, name, type, value): each run's fields under their last names, as the last file that has them says."""
+    recs = records(raw, nested)
+    names = file_fields(raw, recs)
+    facts = recs.select("bench_file", "line_no", "run", F.inline(plain(F.filter("entries", lambda e: e["key"] != "run"))))
+    return (
+        facts.join(names, ["bench_file", "field"]).groupBy("series", "run", "name")
+        .agg(F.max_by(F.struct("type", "value"), F.struct("at", "line_no", "type", "value")).alias("v"))
+        .select("series", "run", "name", "v.*")
+    )
+
+
+SQL_TYPES = {"number": "double", "boolean": "boolean"}
+
+
+def columns(fields: list[str], taken: tuple[str, ...] = ("series", "run", "not_cast")) -> dict[str, str]:
+    """Field -> column name: dots become underscores; names equal but for case, or taken, get a number."""
+    used, out = set(taken), {}
+    for f in sorted(fields):
+        base, k = f.replace(".", "_"), 2
+        name = base
+        while name.lower() in used:
+            name, k = f"{base}_{k}", k + 1
+        used.add(name.lower())
+        out[f] = name
+    return out
+
+
 def table(raw: DataFrame, nested: str = "counts") -> DataFrame:
-    """All runs in one schema, long form: each value under its field's last name and one type.
+    """All runs in one table: a row per (series, run), a typed column per field under its last name.
 
-    The type of a field is the one most of its records have; a value of another
-    type is cast where that is possible (`{"value": x}` gives x), else it is
-    null in `value` and stands in `raw_value` only.
+    A field's type is the one most of its values have: number (double), boolean, string, and array or object
+    as JSON text. A value of another type is cast where that is possible (`{"value": x}` gives x); else the
+    column is null and `not_cast` has the value under the column's name. `run`, the key, is one spelling of
+    the number. Names and types are read by the
+    driver, as in reading any schema; they grow with the schema, not with the records.
     """
-    f = facts(raw, nested).join(file_order(raw).select("bench_file", "exported_at"), "bench_file")
-    names = last_names(raw, nested)
-    renamed = (
-        f.join(names, ["series", "field"], "left")
-        .groupBy("series", "bench_file", "run", "field", "exported_at")
-        .agg(
-            F.max_by("type", "line_no").alias("type"), F.max_by("value", "line_no").alias("raw_value"),
-            F.min(F.when(F.col("at") > F.struct("exported_at", "bench_file"), F.struct("at", "name"))).alias("n"),
-        )
-        .withColumn("field", F.coalesce("n.name", "field"))
-    )
+    long = cut(values(raw, nested))
     usual = (
-        renamed.filter("type IS NOT NULL").groupBy("field", "type").agg(F.count("*").alias("c"))
-        .groupBy("field").agg(F.max_by("type", F.struct("c", "type")).alias("field_type"))
-    )
-    inner = F.coalesce(F.get_json_object("raw_value", "$.value"), F.col("raw_value"))
-    value = F.when(F.col("type") == F.col("field_type"), F.col("raw_value")).otherwise(F.when(F.col("type") == "object", inner).otherwise(F.col("raw_value")))
-    number = F.when(value.try_cast("double").isNotNull(), value)
-    return (
-        renamed.join(usual, "field", "left")
-        .select(
-            "series", "run", "bench_file", "field", "field_type", F.when(F.col("field_type") == "number", number).otherwise(value).alias("value"), "raw_value",
-        )
-        # A run that several files hold comes out once, as the last file has it.
-        .groupBy("series", "run", "field", "field_type")
-        .agg(F.max_by("value", "bench_file").alias("value"), F.max_by("raw_value", "bench_file").alias("raw_value"))
+        long.groupBy("name", "type").agg(F.count("*").alias("c"))
+        .groupBy("name").agg(F.max_by("type", F.when(F.col("type").isNotNull(), F.struct("c", "type"))).alias("type")).collect()
     )
+    names = columns([r.name for r in usual])
+    there = F.when(F.col("value").isNotNull(), F.struct("name", F.struct("type", "value")))
+    every = long.groupBy("series", "run").agg(F.map_from_entries(F.collect_list(there)).alias("m"))
+    out, failed = {}, []
+    for r in sorted(usual, key=lambda r: r.name):
+        v = F.try_element_at("m", F.lit(r.name))
+        inner = F.when((v["type"] == "object") & (F.lit(r.type) != "object"), F.coalesce(F.get_json_object(v["value"], "$.value"), v["value"])).otherwise(v["value"])
+        cast = F.when(v["type"] == r.type, v["value"]) if r.type in ("array", "object") else inner
+        cast = cast.try_cast(SQL_TYPES.get(r.type, "string"))
+        out[names[r.name]] = cast
+        failed.append(F.when(v["value"].isNotNull() & cast.isNull(), F.struct(F.lit(names[r.name]).alias("key"), v["value"].alias("value"))))
+    not_cast = F.map_from_entries(F.array_compact(F.array(*failed))) if failed else F.create_map().cast("map<string,string>")
+    return every.select("series", "run", *[c.alias(n) for n, c in out.items()], not_cast.alias("not_cast"))

@@ -43,7 +43,7 @@ FEES = f"""{_matches_sql(CASH, 'y')}, fees AS (SELECT file, k, 'cash' AS settled
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return texts(spark, d, "file", "text", hold=True)
+    return texts(spark, d, "file", "text")
 
 
 def deals(spark: SparkSession, d: str) -> DataFrame:

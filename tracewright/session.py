@@ -34,28 +34,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def texts(spark: SparkSession, folder: str, *columns: str, hold: bool = False) -> DataFrame:
-    """The documents, which are much work each: if they lie in fewer files than there are cores, they are spread over all of them.
+def texts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The documents, which are much work each: if the scan has fewer tasks than there are cores, they are spread over all of them.
 
-    Large tables have more files than that and are read as they lie. `hold` cuts a spread table, else
-    Catalyst moves costly native filters in front of the spreading, into the few tasks that scan.
+    A scan of fewer tasks reads at most that many times `spark.sql.files.maxPartitionBytes` (or files that
+    cannot be split), so what is shuffled here is bounded; larger tables are read as they lie.
     """
     df = table(spark, folder, "documents")
     df = df.select(*columns) if columns else df
     cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return cut(df.repartition(cores)) if hold else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's `spark.checkpoint.dir`, which a cluster sets to a place all executors share.
 
-    Only where it is unset (tests, one machine) a temporary folder is taken.
+    Where it is unset a session on one machine (tests, the bench) takes a temporary folder; on a cluster
+    that is an error, as no folder of the driver's machine can be read by the executors.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
         folder = sc.getCheckpointDir()
     return folder
