@@ -7,16 +7,16 @@ removed from each text.
 
 Scale: one pass over the texts gives a narrow row per line (keys, no text); a
 masked form's text comes along once per task. Forms are hashed once for all
-sources. Different forms that share a bucket and a source are compared exactly
-(Jaccard of the five-word runs, 0.8 or more). A bucket with more than `hot`
-forms is taken apart by source first; one that has more within a source is
-taken apart by the rarest runs of each form, of which alike forms share one;
-what is large even then is compared with its least form, and only forms that
-are not alike to that one are paired with the rest, as far as their
+sources. A source's forms that share a bucket are compared exactly (Jaccard of
+the five-word runs, 0.8 or more). A bucket with more than `hot` forms of one
+source is taken apart by the rarest runs of each form, of which alike forms
+share one; what is large even then is compared with its least form, and only
+forms that are not alike to that one are paired with the rest, as far as their
 similarities to it allow. This loses no pair that shares a bucket, and no link
 is made without the exact check. Lines that are equal in compared form are
 linked whatever their masks. Clusters are the connected components of these
-links.
+links. Only lines of clusters that stand in enough documents go on; within
+these clusters documents are counted per compared form where that is asked for.
 
 Defined results: a null text or source has no lines; lines shorter than
 `min_chars` in compared form stay; a line that repeats within one document
@@ -38,7 +38,7 @@ from tracewright.operators.components import components
 from tracewright.session import stored
 
 MIN_CHARS, MIN_DOCS = 30, 6
-WORDS, SIMILAR, BANDS, ROWS, HOT = 5, 0.8, 8, 6, 50
+WORDS, SIMILAR, BANDS, ROWS, HOT = 5, 0.8, 12, 5, 50
 # Month names of the corpus languages, for masking dates.
 MONTHS = (
     "January February March April May June July August September October November December "
@@ -101,15 +101,15 @@ def mask(words: list[str]) -> str:
     return collapse(" ".join(map(_masks.__getitem__, words)))
 
 
-OCCURRENCES = "doc_id bigint, source_key bigint, line_no int, first boolean, line bigint, form bigint, masked string"
+OCCURRENCES = "doc_id bigint, source_key bigint, line_no int, first boolean, first_form boolean, line bigint, form bigint, masked string"
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, source_key, line_no, first, line, form, masked) of each long line.
+    """(doc_id, source_key, line_no, first, first_form, line, form, masked) of each long line.
 
-    `line` and `form` are keys of the compared and the masked form; `first`
-    says that the document has not had the line before; `masked` is the masked
-    form itself where a task meets it for the first time.
+    `line` and `form` are keys of the compared and the masked form; `first` and
+    `first_form` say that the document has not had them before; `masked` is the
+    masked form itself where a task meets it for the first time.
     """
 
     names = [c.split()[0] for c in OCCURRENCES.split(", ")]
@@ -118,9 +118,9 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         known: set[int] = set()
         digest, masked_word = xxhash.xxh3_64_intdigest, _masks.__getitem__
         for batch in batches:
-            numbers, firsts, keys, forms, masked, counts = [], [], [], [], [], []
+            numbers, firsts, first_forms, keys, forms, masked, counts = [], [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
-                before, had = len(numbers), set()
+                before, had, had_forms = len(numbers), set(), set()
                 for i, raw in enumerate(text.split("\n"), 1):
                     if len(raw) < min_chars:
                         continue
@@ -135,6 +135,8 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     keys.append(line)
                     firsts.append(line not in had)
                     had.add(line)
+                    first_forms.append(form not in had_forms)
+                    had_forms.add(form)
                     forms.append(form)
                     masked.append(None if form in known else m)
                     known.add(form)
@@ -144,7 +146,7 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(row), batch.column(1).take(row), pa.array(numbers, pa.int32()), pa.array(firsts, pa.bool_()),
-                    key(keys), key(forms), pa.array(masked, pa.string()),
+                    pa.array(first_forms, pa.bool_()), key(keys), key(forms), pa.array(masked, pa.string()),
                 ],
                 names,
             )
@@ -227,13 +229,6 @@ def node(form: str) -> Column:
     return F.xxhash64("source_key", form)
 
 
-def different(occ: DataFrame) -> DataFrame:
-    """One row per different line of a source: the documents that have it, its least and greatest masked form."""
-    return occ.groupBy("source_key", "line").agg(
-        F.count_if("first").alias("line_docs"), F.min("form").alias("least"), F.max("form").alias("most")
-    )
-
-
 def counted() -> tuple[Column, Column]:
     """The runs that the sets x and y share, and those of either."""
     both = F.size(F.array_intersect("x", "y"))
@@ -287,96 +282,81 @@ def around_least(parts: DataFrame, forms: DataFrame) -> DataFrame:
     return apart.unionByName(stars).select("source_key", F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other"))
 
 
-def links(occ: DataFrame, lines: DataFrame, hot: int = HOT) -> DataFrame:
-    """Pairs of nodes (a, b) that are alike."""
+def nodes(occ: DataFrame) -> DataFrame:
+    """One row per masked form of a source, with the documents that have it."""
+    return occ.groupBy("source_key", "form").agg(F.count_if("first_form").alias("docs"))
+
+
+def links(occ: DataFrame, held: DataFrame, hot: int = HOT) -> DataFrame:
+    """Pairs of nodes (a, b) that are alike; `held` has the forms of each source."""
     texts = occ.filter("masked IS NOT NULL").groupBy("form").agg(F.first("masked").alias("masked"))
     forms = stored(hashed(texts))
-    held = stored(occ.select("source_key", "form").distinct())
-    spread = held.groupBy("form").agg(F.count("*").alias("sources"))
-    keyed = forms.select("form", F.size("runs").alias("size"), F.explode("buckets").alias("bucket"))
-    counts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = stored(keyed.join(counts, "bucket").join(spread, "form"))
-    # Sets of very unlike size cannot be alike enough.
-    close = F.least("size", "other_size") >= F.greatest("size", "other_size") * SIMILAR
-    other = {"form": "other", "size": "other_size", "sources": "other_sources"}
-
-    # Small buckets are paired once for all sources; then the sources of the rarer form that hold the other one count.
-    small = keyed.filter(F.col("n") <= hot).select("bucket", "form", "size", "sources")
-    rare = (F.col("sources") < F.col("other_sources")) | ((F.col("sources") == F.col("other_sources")) & (F.col("form") < F.col("other")))
-    met = (
-        small.join(small.withColumnsRenamed(other), "bucket").filter(F.col("form") != F.col("other")).filter(rare & close)
-        .select("form", "other").distinct()
-        .join(held, "form").join(held.withColumnRenamed("form", "other"), ["source_key", "other"])
-        .select("source_key", F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other"))
-    )
-
-    # Large buckets are taken apart by source, what is large in a source as well by rare runs.
-    inside = keyed.filter(F.col("n") > hot).select("bucket", "form", "size").join(held, "form")
-    sizes = inside.groupBy("source_key", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    inside = stored(inside.join(sizes, ["source_key", "bucket"]))
+    key = ["source_key", "bucket"]
+    keyed = held.join(forms.select("form", F.size("runs").alias("size"), F.explode("buckets").alias("bucket")), "form").select(*key, "form", "size")
+    counts = keyed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    inside = stored(keyed.join(counts, key))
     fine = stored(refined(inside.filter(F.col("n") > hot), forms))
     few = inside.withColumn("run", F.lit(0)).unionByName(fine.drop("least")).filter(F.col("n") <= hot).drop("n")
+    # Sets of very unlike size cannot be alike enough.
+    close = F.least("size", "other_size") >= F.greatest("size", "other_size") * SIMILAR
     own = (
-        few.join(few.withColumnsRenamed({"form": "other", "size": "other_size"}), ["source_key", "bucket", "run"])
+        few.join(few.withColumnsRenamed({"form": "other", "size": "other_size"}), [*key, "run"])
         .filter("form < other").filter(close).select("source_key", "form", "other")
     )
-    pairs = stored(met.unionByName(own).unionByName(around_least(fine.filter(F.col("n") > hot).drop("n"), forms)).distinct())
-    # Whether two forms are alike is decided once, whatever the number of sources that have both.
+    pairs = own.unionByName(around_least(fine.filter(F.col("n") > hot).drop("n"), forms)).distinct()
     both, either = counted()
-    checked = (
-        pairs.select("form", "other").distinct()
-        .join(forms.select("form", F.col("runs").alias("x")), "form")
+    verified = (
+        pairs.join(forms.select("form", F.col("runs").alias("x")), "form")
         .join(forms.select(F.col("form").alias("other"), F.col("runs").alias("y")), "other")
         .filter(both >= either * SIMILAR)
-        .select("form", "other")
+        .select(node("form").alias("a"), node("other").alias("b"))
     )
-    verified = pairs.join(checked, ["form", "other"]).select(node("form").alias("a"), node("other").alias("b"))
     # Lines of one compared form can differ in case and so in masks.
-    equal = lines.filter("least < most").select("source_key", "line", "least")
+    line = ["source_key", "line"]
+    equal = occ.groupBy(*line).agg(F.min("form").alias("least"), F.max("form").alias("most")).filter("least < most")
     equals = (
-        occ.select("source_key", "line", "form").join(equal, ["source_key", "line"]).filter("form > least")
+        occ.select(*line, "form").join(equal, line).filter("form > least")
         .select(node("form").alias("a"), node("least").alias("b")).distinct()
     )
     return verified.unionByName(equals)
 
 
 def clustered(docs: DataFrame, min_chars: int = MIN_CHARS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Line occurrences, and the different lines (source_key, line, line_docs) with their cluster."""
+    """Line occurrences, and the masked forms of each source (source_key, form, docs) with their cluster."""
     occ = stored(occurrences(docs, min_chars))
-    lines = stored(different(occ))
-    roots = components(links(occ, lines, hot))
-    lines = (
-        lines.select("source_key", "line", "line_docs", node("least").alias("node")).join(roots, "node", "left")
-        .select("source_key", "line", "line_docs", F.coalesce("root", "node").alias("cluster"))
-    )
-    return occ, stored(lines)
+    held = stored(nodes(occ))
+    roots = components(links(occ, held, hot))
+    own = held.withColumn("node", node("form")).join(roots, "node", "left")
+    return occ, stored(own.select("source_key", "form", "docs", F.coalesce("root", "node").alias("cluster")))
+
 
+def frequent(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+    """(doc_id, source_key, line_no, first, line, cluster) of the lines whose cluster can stand in `min_docs` documents.
 
-def _large(lines: DataFrame, min_docs: int) -> DataFrame:
-    """Clusters that can stand in `min_docs` documents, as their lines together have as many."""
-    return lines.groupBy("cluster").agg(F.sum("line_docs").alias("most_docs")).filter(F.col("most_docs") >= min_docs).select("cluster")
+    That is so if its masked forms together have as many, each counted by itself.
+    """
+    occ, held = clustered(docs, min_chars, hot)
+    large = held.groupBy("cluster").agg(F.sum("docs").alias("most_docs")).filter(F.col("most_docs") >= min_docs).select("cluster")
+    kept = held.join(large, "cluster", "left_semi").select("source_key", "form", "cluster")
+    return stored(occ.select("doc_id", "source_key", "line_no", "first", "line", "form").join(kept, ["source_key", "form"]).drop("form"))
 
 
 def repeated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """(doc_id, source_key, line_no, line, cluster, n_docs) of the lines whose cluster stands in `min_docs` documents."""
-    occ, lines = clustered(docs, min_chars, hot)
-    rows = stored(
-        occ.select("doc_id", "source_key", "line_no", "line")
-        .join(lines.join(_large(lines, min_docs), "cluster", "left_semi").drop("line_docs"), ["source_key", "line"])
-    )
+    rows = frequent(docs, min_docs, min_chars, hot).drop("first")
     sizes = rows.select("cluster", "doc_id").distinct().groupBy("cluster").agg(F.count("*").alias("n_docs"))
     return rows.join(sizes.filter(F.col("n_docs") >= min_docs), "cluster")
 
 
-def same(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def same(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """(doc_id, source_key, line_no, line) of the lines whose very compared form stands in `min_docs` documents.
 
-    They are looked for in the clusters that are large enough; equal lines are in one cluster, so the
-    line's own count alone decides.
+    Documents are counted per cluster and compared form, within the clusters that are frequent enough.
     """
-    occ, lines = clustered(docs, min_chars)
-    kept = lines.join(_large(lines, min_docs), "cluster", "left_semi").filter(F.col("line_docs") >= min_docs)
-    return occ.select("doc_id", "source_key", "line_no", "line").join(kept, ["source_key", "line"], "left_semi")
+    rows = frequent(docs, min_docs, min_chars, hot)
+    key = ["source_key", "cluster", "line"]
+    kept = rows.groupBy(*key).agg(F.count_if("first").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    return rows.join(kept, key, "left_semi").select("doc_id", "source_key", "line_no", "line")
 
 
 def found(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
