@@ -2,7 +2,7 @@
 
 Each step is one aggregate and one join by node; a hub with many edges is
 reduced on the map side for its minimum, and AQE may split its join. The edges
-of a step are cut through the shared checkpoint folder, so the plan does not
+of a step are written to the shared folder, so the plan does not
 grow with the number of steps and a lost executor costs no more than one step.
 
 Defined results: self-loops and repeated edges are ignored; null ends are
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.session import cut
+from tracewright.session import stored
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -25,24 +25,19 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     least = nbr.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     out = nbr.join(least, "u")
     if large:
-        out = out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = out.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
-
-
-def _print(e: DataFrame) -> tuple:
-    r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return r.n, r.s
+        return out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    both = F.explode(F.array_distinct(F.array("v", "u"))).alias("a")
+    return out.select(both, F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has an edge."""
-    e = cut(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    e = stored(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    print_of = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     last = None
-    while (now := _print(e)) != last:
+    while (now := print_of(e)) != last:
         last = now
-        e = cut(_star(_star(e, large=True), large=False))
+        e = stored(_star(_star(e, large=True), large=False))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
