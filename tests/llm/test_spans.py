@@ -64,14 +64,27 @@ def test_hot_anchors_lose_nothing(spark, hot, monkeypatch):
     rows = noisy(hot)
     df = spark.createDataFrame(rows, SCHEMA)
     whole = spans.repeats
-    monkeypatch.setattr(spans, "repeats", lambda c, f, n: whole(c, f, n, anchor=20, hot=hot))
+    monkeypatch.setattr(spans, "repeats", lambda c, n: whole(c, n, anchor=20, hot=hot))
     got = [tuple(r) for r in spans.found(df, at_least=25).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute_pairs([r[:3] for r in rows], 25)
-    shares = {r.cite_id: r.shared for r in spans.shares(df, at_least=25).collect()}
+    shares = {r.cite_id: r.shared for r in spans.shares(df, at_least=25, anchor=20).collect()}
     assert shares == brute_shares([r[:3] for r in rows], 25)
 
 
+def test_a_repeat_is_met_once_however_many_share_it(spark, monkeypatch):
+    r = random.Random(5)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(90))
+    texts = [f"{r.choice('xyz') * r.randint(0, 2)}{passage[r.choice([0, 0, 0, 7]):]}{r.choice('uvw')}{i:03}" for i in range(40)]
+    df = spark.createDataFrame([(i, f"f{i % 5}", t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    seeds = []
+    begin = spans._begin
+    monkeypatch.setattr(spans, "_begin", lambda runs: seeds.append(begin(runs)) or seeds[0])
+    got = {tuple(x) for x in spans.repeats(spans.classes(spans.classed(df, "cite_id", "file", "quote", 25)), 25, anchor=20, hot=1).select("a", "b").collect()}
+    pairs = brute_pairs([(i, f"f{i % 5}", t) for i, t in enumerate(texts)], 25)
+    assert len(got) == len(pairs) == seeds[0].count()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert spans.found(df).count() == 0
