@@ -54,18 +54,25 @@ def test_cuts_of_odd_texts(seed):
         t = "".join(r.choice(["a" * r.randint(1, 60), " ", "\n", "\n\n", ". ", "\u200b", "\u00a0" * 40]) for _ in range(r.randint(1, 99)))
         limit, overlap = r.choice([(40, 9), (50, 10), (30, 0)])
         got, at = pieces.cuts(t, limit, overlap), 0
-        for s, e, _ in got:
-            assert 0 < e - s <= limit and s <= at < e
+        for k, (s, e, kind) in enumerate(got):
+            # The overlap is the same everywhere, whatever the words are like.
+            assert 0 < e - s <= limit and s == (at - overlap if k else 0) and at < e
+            if kind == "hard":
+                assert e - s == limit and not any(t[i - 1].isspace() or t[i : i + 1].isspace() for i in range(s + overlap + 1, e + 1))
             at = e
         assert at == len(t)
-        assert any(c[2] == "hard" for c in got) == (len(t) > limit and pieces.longest_run(t) > limit)
+        assert any(c[2] == "hard" for c in got) or len(t) <= limit or pieces.longest_run(t) <= limit
 
 
 def test_pieces_edge_cases(spark):
     df = make(spark, [None, "", "a", "b" * 8000, "b" * 8001, ("c" * 7900 + " ") * 2, "\u200b" * 8100, "\u00a0" * 8100])
     got = {r.doc_id: r.cut for r in pieces.found(df).collect()}
     assert got == {4: "forced", 5: "natural", 6: "forced", 7: "natural"}
-    assert {r.doc_id for r in pieces.pieces(df).collect()} == set(range(2, 8))
+    by = defaultdict(list)
+    for r in pieces.pieces(df).orderBy("piece").collect():
+        by[r.doc_id].append((r.start, r.end))
+    assert by.keys() == set(range(2, 8))
+    assert all(b[0] == a[1] - 200 for x in by.values() for a, b in zip(x, x[1:])) and len(by[5]) == 3
     empty = make(spark, ["x"]).limit(0)
     assert pieces.found(empty).count() == pieces.pieces(empty).count() == 0
     with pytest.raises(ValueError):
@@ -139,6 +146,26 @@ def test_leaks_equal_brute_force(spark, medium, block):
         assert f" {' '.join(run)} " in f" {' '.join(leaks.words_of(by[r.item_id]))} "
 
 
+ODD = ["cafe\u0301", "İstanbul", "ﬁrst", "naı\u0308ve", "pro\u200bfit", "соm", "ｗｉｄｅ", "o\u0308\u0323st", "각하", "각", "Straße", "e\u0301te\u0301", "ΣΑΣ", "x\u00ady", "12\u0301"]
+
+
+def test_spans_fit_the_original(spark):
+    r = random.Random(7)
+    made = {}
+    for k in range(40):
+        item = [r.choice(ODD + ["plain", "words"]) + str(i % 3) * (i % 2) for i in range(14)]
+        before, behind = (" ".join(r.choices(ODD, k=5)) for _ in range(2))
+        made[k] = (f"{before}, {' '.join(item)}. {behind}", len(before) + 2, " ".join(item))
+    docs = make(spark, [t for t, _, _ in made.values()])
+    items = spark.createDataFrame([(k, "A", i) for k, (_, _, i) in made.items()], "item_id long, tier string, text string")
+    rows = [x for x in leaks.spans(docs, items).collect() if x.doc_id == x.item_id]
+    assert {x.doc_id for x in rows} == made.keys()
+    for x in rows:
+        text, at, item = made[x.doc_id]
+        assert x.start <= at and x.end >= at + len(item) and len(leaks.words_of(text[x.start : x.end])) == x.n_words
+        assert x.n_words > len(leaks.words_of(item)) or (x.start, x.end) == (at, at + len(item))
+
+
 def test_leaks_edge_cases(spark):
     twelve = " ".join(f"w{i}" for i in range(12))
     docs = make(spark, [None, "", f"X {twelve.upper()}, y", twelve.replace(" ", "_-\u00a0"), twelve[:-1] + "2", f"{twelve} {twelve}"])
@@ -171,6 +198,12 @@ SAME = [
     ("1,500", "１，５００"),
     ("Å", "Å"),
     ("a\r\nb", "a\nb"),
+    ("Ivy line", "Ӏѵу line"),
+    ("virus", "νіrυѕ"),
+    ("gun", "ցսո"),
+    ("grant", "ɡrɑnt"),
+    ("DWARF", "ᎠᏔᎪᎡF"),
+    ("pay", "ρаγ"),
 ]
 OTHER = [("Sale", "sale"), ("été", "ete"), ("15", "16"), ("a b", "a  b"), ("a\nb", "a b"), ("x²", "x2"), ("й", "и"), ("a-b", "a—b"), ("O", "0"), ("①", "1"), ("½", "1/2")]
 
@@ -189,14 +222,32 @@ def test_other_form(a, b):
 def test_form_is_stable_and_its_offsets_fit(medium):
     for t in documents(medium).values():
         f = textform.form(t or "")
-        again, at = textform.form_offsets(t or "")
-        assert again == f and len(at) == len(f) and at == sorted(at)
+        again, starts, ends = textform.form_offsets(t or "")
+        assert again == f and len(starts) == len(ends) == len(f)
+        assert starts == sorted(starts) and ends == sorted(ends) and all(a < b for a, b in zip(starts, ends))
         assert textform.form(f) == f
 
 
-def test_russian_stays_russian():
-    t = "Отчёт компании"
-    assert textform.form(t) == t
+@pytest.mark.parametrize("t", ["Отчёт компании", "Έκθεση εταιρείας", "Հայերեն", "東京タワー", "한국어 보고서", "ʼn’est-ce", "Übergröße"])
+def test_a_language_keeps_its_script(t):
+    assert textform.form(t) == unicodedata.normalize("NFC", t)
+
+
+def test_every_shape_joins_all_its_scripts():
+    for row in textform.SHAPES.split("\n"):
+        letters = [c for c in row.split() if c != "."]
+        assert len({textform.form(c) for c in letters}) <= 1
+        assert all(textform.scripts(c) for c in letters)
+    for c, script in zip("aбαա東カ가", ["Latin", "Cyrillic", "Greek", "Armenian", "Han", "Katakana", "Hangul"]):
+        assert script in textform.scripts(c)
+    assert textform.scripts("東") & textform.scripts("カ") and not textform.scripts("a") & textform.scripts("б")
+
+
+@pytest.mark.parametrize(("token", "kind"), [("fоr", "mixed"), ("сор", "whole"), ("for", None), ("слово", None), ("東カ", None), ("бa", "mixed"), ("café", None)])
+def test_confusable_tokens(spark, token, kind):
+    assert textform.token_kind(token) == kind
+    got = textform.confusables(make(spark, [f"a {token}, {token} b"])).first()
+    assert (got.n_mixed, got.n_whole) == (2 * (kind == "mixed"), 2 * (kind == "whole"))
 
 
 def test_look_alikes_equal_definition(spark, medium):

@@ -1,9 +1,12 @@
 """Problem 7: evaluation texts that leak into training text.
 
 Method: the items, in the one form of problem 8 and as words, give one
-Aho-Corasick automaton over all their runs of `words` words; each document is
+Aho-Corasick automaton over all their runs of `words` words. Its letters are
+word numbers: words that no item has are 0, so an item of n words makes some
+`words` * n nodes and a document is read as a row of numbers. Each document is
 scanned once, and the hits are merged into the longest run per item and mapped
-back to offsets in the original text.
+back to offsets in the original text, through normalisation, character by
+character.
 
 The items are a withheld set of fixed size. They are read in blocks of at most
 `block_chars` characters; a larger set makes more automata, each of bounded
@@ -31,30 +34,33 @@ from tracewright.llm.textform import form, form_offsets
 
 WORD = re.compile(r"[^\W_]+")
 WORDS = 12
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(form(text).lower())
+    # Words are found before they are put in lower case, which may split a letter.
+    return " ".join(WORD.findall(form(text))).lower().split(" ")
 
 
-def shingles(items: list[tuple[int, str]], n: int) -> dict[str, list[int]]:
-    """` w1 w2 ... wn ` -> the items that hold this run of words."""
-    out: dict[str, set[int]] = {}
+def shingles(items: list[tuple[int, str]], n: int) -> tuple[dict[str, int], dict[tuple[int, ...], list[int]]]:
+    """The number of each word of the items, and per run of n words the items that hold it."""
+    number: dict[str, int] = {}
+    out: dict[tuple[int, ...], set[int]] = {}
     for item, text in items:
-        w = words_of(text)
+        w = [number.setdefault(x, len(number) + 1) for x in words_of(text)]
         for i in range(len(w) - n + 1):
-            out.setdefault(f" {' '.join(w[i : i + n])} ", set()).add(item)
-    return {k: sorted(v) for k, v in out.items()}
+            out.setdefault(tuple(w[i : i + n]), set()).add(item)
+    return number, {k: sorted(v) for k, v in out.items()}
 
 
 @lru_cache(maxsize=4)
-def _automaton(packed: bytes) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for pattern, ids in pickle.loads(packed).items():
-        a.add_word(pattern, (len(pattern), ids))
+def _automaton(packed: bytes) -> tuple[dict[str, int], ahocorasick.Automaton]:
+    number, runs = pickle.loads(packed)
+    a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for run, ids in runs.items():
+        a.add_word(run, ids)
     a.make_automaton()
-    return a
+    return number, a
 
 
 def blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
@@ -73,17 +79,18 @@ def blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
 
 def _scan(docs: DataFrame, packed, schema: str, spans: bool, n: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(packed.value)
+        number, automaton = _automaton(packed.value)
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                line = f" {' '.join(words_of(text))} "
+                words = words_of(text)
                 hits: dict[int, list[int]] = {}
-                for end, (size, ids) in automaton.iter(line):
-                    for i in ids:
-                        hits.setdefault(i, []).append(end - size + 1)
+                if len(automaton) and len(words) >= n:
+                    for end, ids in automaton.iter(tuple([number.get(w, 0) for w in words])):
+                        for i in ids:
+                            hits.setdefault(i, []).append(end - n + 1)
                 if hits and spans:
-                    out += [(doc, *x) for x in _runs(text, line, hits, n)]
+                    out += [(doc, *x) for x in _runs(text, hits, n)]
                 else:
                     out += [(doc, i) for i in hits]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
@@ -91,29 +98,19 @@ def _scan(docs: DataFrame, packed, schema: str, spans: bool, n: int) -> DataFram
     return docs.filter("text IS NOT NULL").select("doc_id", "text").mapInPandas(scan, schema)
 
 
-def _runs(text: str, line: str, hits: dict[int, list[int]], n: int):
+def _runs(text: str, hits: dict[int, list[int]], n: int):
     """Merge overlapping hits of an item to runs: item, words, start and end in the text."""
-    f, at = form_offsets(text)
-    places = [(m.start(), m.end()) for m in WORD.finditer(f.lower())] if len(f.lower()) == len(f) else []
-    number = {}
-    pos = 0
-    for k, w in enumerate(line.split()):
-        number[pos] = k
-        pos += len(w) + 1
-    for item, starts in sorted(hits.items()):
-        first = [number[s] for s in sorted(set(starts))]
+    f, starts, ends = form_offsets(text)
+    places = [m.span() for m in WORD.finditer(f)]
+    for item, first in sorted(hits.items()):
         runs = []
-        for k in first:
+        for k in sorted(set(first)):
             if runs and k <= runs[-1][1] - n + 1:
                 runs[-1][1] = k + n
             else:
                 runs.append([k, k + n])
         for a, b in runs:
-            if len(places) >= b:
-                last = places[b - 1][1] - 1
-                yield item, b - a, at[places[a][0]], at[last] + 1
-            else:
-                yield item, b - a, None, None
+            yield item, b - a, starts[places[a][0]], ends[places[b - 1][1] - 1]
 
 
 def _all(docs: DataFrame, items: DataFrame, schema: str, spans: bool, words: int, block_chars: int) -> DataFrame:

@@ -8,8 +8,9 @@ within the limit; the next piece starts `overlap` characters before that place.
 
 Kinds, best first: paragraph, line, sentence and word ends. A better kind wins
 if it leaves a piece of at least half the limit, else the last boundary of any
-kind is taken. Where no boundary lies within the limit the overlap is shortened
-to keep a word whole; a word longer than the limit is cut hard.
+kind is taken. Where no boundary lies behind the overlap and within the limit
+the piece is cut hard at the limit, as the overlap is kept in every case: a
+piece starts exactly `overlap` characters before the end of the one before.
 
 Only texts over the limit leave the JVM; each is worked on alone, so there is
 no shuffle.
@@ -61,19 +62,11 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
                 return int(at[k]), name
         return None
 
-    out, start, done = [], 0, 0
+    out, start = [], 0
     while n - start > limit:
-        best = last(start, max(done + overlap, start + limit // 2)) or last(start, max(done, start + overlap))
-        if best is None:
-            # No boundary fits behind the overlap: start later, so that the coming word may stay whole.
-            start = done
-            if n - start <= limit:
-                break
-            best = last(start, start)
-        end, name = best or (start + limit, "hard")
+        end, name = last(start, start + max(overlap, limit // 2)) or last(start, start + overlap) or (start + limit, "hard")
         out.append((start, end, name))
-        done = end
-        start = max(end - overlap, start + 1)
+        start = end - overlap
     out.append((start, n, "end"))
     return out
 
@@ -104,7 +97,7 @@ def found(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFr
 
     @F.pandas_udf("string")
     def how(s: pd.Series) -> pd.Series:
-        # A hard cut is needed at most where the prefix sums show a stretch that no piece can hold.
+        # A stretch that no piece can hold makes a hard cut; so may a shorter one, as the overlap takes room.
         return s.map(lambda t: "forced" if any(c[2] == "hard" for c in cuts(t, limit, overlap)) and longest_run(t) > limit else "natural")
 
     return docs.filter(F.length("text") > limit).select("doc_id", how("text").alias("cut"))

@@ -68,6 +68,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return textform.look_alikes(texts(spark, d))
 
 
+def p8_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return textform.confusables(texts(spark, d))
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return textform.forms(texts(spark, d))
 
@@ -76,6 +80,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_shares, p2_found, p2_pieces, p2_filings, p4_found, p4_clean, p4_clean_near, p4_report, p6_ids, p6_counts,
-        p7_found, p7_spans, p7_items, p8_found, p8_forms,
+        p7_found, p7_spans, p7_items, p8_found, p8_scripts, p8_forms,
     )
 }

@@ -15,6 +15,13 @@ Two texts get one form exactly if they look identical: letter case, missing
 accents, digits, words and line breaks stay different. Line ends CR LF and LF
 are one kind of line break.
 
+Scripts are Unicode's script extensions; Han, Kana, Bopomofo and Hangul go
+together as they are written together, and letters common to all scripts go
+with any. The table of shapes covers Latin, Cyrillic, Greek, Armenian and
+Cherokee. Left out on purpose: letters alike in some fonts or positions only
+(`rn`/`m`, `1`/`l`/`I`, `0`/`O`), digits and symbols in the shape of letters,
+mathematical alphabets, and scripts without a case pair of Latin shape.
+
 Defined results: NULL stays NULL, an empty text stays empty.
 """
 
@@ -26,52 +33,73 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.session import cut
 
-# Letters of one shape in Latin, Cyrillic, Greek and Armenian; a dot where a script has none.
+# Letters of one shape in Latin, Cyrillic, Greek, Armenian and Cherokee; a dot where a script has none.
 SHAPES = """
-A А Α .
-B В Β .
-C С Ϲ .
-E Е Ε .
-H Н Η .
-I І Ι .
-J Ј Ϳ .
-K К Κ .
-M М Μ .
-N . Ν .
-O О Ο Օ
-P Р Ρ .
-Q Ԛ . .
-S Ѕ . Տ
-T Т Τ .
-W Ԝ . .
-X Х Χ .
-Y Ү Υ .
-Z . Ζ .
-a а . .
-c с ϲ .
-d ԁ . .
-e е . .
-h һ . հ
-i і . .
-j ј ϳ .
-o о ο օ
-p р . .
-q ԛ . .
-s ѕ . .
-u . . ս
-w ԝ . .
-x х . .
-y у . .
-. П Π .
-. Г Γ .
-. Ф Φ .
+A А Α . Ꭺ
+B В Β . Ᏼ
+C С Ϲ . Ꮯ
+D . . . Ꭰ
+E Е Ε . Ꭼ
+G Ԍ . . Ꮐ
+H Н Η . Ꮋ
+I І Ι . .
+J Ј Ϳ . Ꭻ
+K К Κ . Ꮶ
+L . . . Ꮮ
+M М Μ . Ꮇ
+N . Ν . .
+O О Ο Օ .
+P Р Ρ . Ꮲ
+Q Ԛ . . .
+R . . . Ꭱ
+S Ѕ . Տ Ꮪ
+T Т Τ . Ꭲ
+U . . Ս .
+V Ѵ . . Ꮩ
+W Ԝ . . Ꮃ
+X Х Χ . .
+Y Ү Υ . Ꮍ
+Z . Ζ . Ꮓ
+a а . . .
+b . . . Ꮟ
+c с ϲ . .
+d ԁ . . .
+e е . . .
+g . . ց .
+h һ . հ .
+i і . . Ꭵ
+j ј ϳ . .
+n . . ո .
+o о ο օ .
+p р ρ . .
+q ԛ . զ .
+s ѕ . . .
+u . υ ս .
+v ѵ ν . .
+w ԝ . . .
+x х . . .
+y у γ . .
+. П Π . .
+. Г Γ . .
+. Ф Φ . .
+. к κ . .
 """
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
+# Further letters that look like one of the same or another script.
+VARIANTS = {"Ӏ": "I", "ɑ": "a", "ɡ": "g", "Ꮢ": "R", "Ꮤ": "W"}
+# Scripts told apart; letters of any other one are told by the first word of their names.
+KNOWN = (
+    "Latin Cyrillic Greek Armenian Cherokee Han Hiragana Katakana Bopomofo Hangul Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi "
+    "Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Thai Lao Tibetan Myanmar Georgian Ethiopic Khmer Mongolian Coptic Glagolitic Gothic"
+).split()
+# Scripts that are written together, and what they are called then.
+TOGETHER = {"Han": ("Jpan", "Kore", "Hanb"), "Hiragana": ("Jpan",), "Katakana": ("Jpan",), "Hangul": ("Kore",), "Bopomofo": ("Hanb",)}
 # Hyphens that look like the hyphen-minus.
 HYPHENS = "\u2010\u2011\ufe63\uff0d"
 # Letters and fillers that print nothing although they are no format characters.
@@ -83,11 +111,28 @@ for row in SHAPES.split("\n"):
     spelled = {script: letter for script, letter in zip(SCRIPTS, row.split()) if letter != "."}
     for letter in spelled.values():
         SPELLINGS[letter] = spelled
+for letter, like in VARIANTS.items():
+    SPELLINGS[letter] = SPELLINGS[like]
+
+
+_SCRIPTS = {name: regex.compile(rf"\p{{scx={name}}}") for name in [*KNOWN, "Common", "Inherited"]}
+
+
+@lru_cache(maxsize=1 << 16)
+def scripts(letter: str) -> frozenset[str] | None:
+    """The scripts a letter is used in, those written together included; None if it goes with any."""
+    own = {name for name in KNOWN if _SCRIPTS[name].match(letter)}
+    if own:
+        return frozenset(own | {t for name in own for t in TOGETHER.get(name, ())})
+    if _SCRIPTS["Common"].match(letter) or _SCRIPTS["Inherited"].match(letter):
+        return None
+    return frozenset({unicodedata.name(letter, "?").partition(" ")[0]})
 
 
 @lru_cache(maxsize=1 << 16)
-def _script(letter: str) -> str:
-    return unicodedata.name(letter, "?").partition(" ")[0]
+def _resolved(letter: str) -> frozenset[str] | None:
+    """The scripts a letter is used in or has the shape of a letter in."""
+    return frozenset(SPELLINGS[letter]) if letter in SPELLINGS else scripts(letter)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -112,18 +157,17 @@ def _spell(letters: list[str]) -> list[str]:
     """One token's letters in the one script all of them can be written in."""
     shared = None
     for c in letters:
-        own = set(SPELLINGS.get(c) or (_script(c),))
-        shared = own if shared is None else shared & own
+        own = _resolved(c)
+        if own is not None:
+            shared = own if shared is None else shared & own
     for script in SCRIPTS:
         if shared and script in shared:
             return [SPELLINGS.get(c, {}).get(script, c) for c in letters]
-    return letters if shared else [next(iter(SPELLINGS[c].values())) if c in SPELLINGS else c for c in letters]
+    return letters if shared or shared is None else [next(iter(SPELLINGS[c].values())) if c in SPELLINGS else c for c in letters]
 
 
-@lru_cache(maxsize=1 << 18)
-def token_form(token: str) -> str:
-    """The form of a maximal run that has a character beyond ASCII."""
-    chars = unicodedata.normalize("NFD", "".join(map(_basic, token)))
+def _spelled(chars: str) -> list[str]:
+    """Decomposed characters with each word's letters in one script."""
     out: list[str] = []
     letters: list[int] = []
     for ch in [*chars, ""]:
@@ -135,7 +179,47 @@ def token_form(token: str) -> str:
                 out[i] = c
             letters = []
         out.append(ch)
-    return unicodedata.normalize("NFC", "".join(out))
+    return out[:-1]
+
+
+@lru_cache(maxsize=1 << 18)
+def token_form(token: str) -> str:
+    """The form of a maximal run that has a character beyond ASCII."""
+    return unicodedata.normalize("NFC", "".join(_spelled(unicodedata.normalize("NFD", "".join(map(_basic, token))))))
+
+
+def token_parts(token: str) -> list[tuple[str, int, int]]:
+    """The form of a token in parts that belong together: characters, and the first and last place in the token they come from.
+
+    A part is a letter with its marks, or several that are composed to one.
+    """
+    origin = [(c, i) for i, ch in enumerate(token) for c in unicodedata.normalize("NFD", _basic(ch))]
+    # Marks change places only behind their letter, so letters keep theirs in order.
+    heads = [k for k, (c, _) in enumerate(origin) if k == 0 or unicodedata.combining(c) == 0]
+    spelled = "".join(_spelled(unicodedata.normalize("NFD", "".join(c for c, _ in origin))))
+    out: list[tuple[str, int, int]] = []
+    for lo, hi in zip(heads, [*heads[1:], len(origin)]):
+        at = [i for _, i in origin[lo:hi]]
+        part = unicodedata.normalize("NFC", spelled[lo:hi])
+        if out and unicodedata.normalize("NFC", out[-1][0] + part) != out[-1][0] + part:
+            before = out.pop()
+            out.append((unicodedata.normalize("NFC", before[0] + part), min(before[1], *at), max(before[2], *at)))
+        else:
+            out.append((part, min(at), max(at)))
+    return out
+
+
+@lru_cache(maxsize=1 << 18)
+def token_kind(token: str) -> str | None:
+    """`mixed` if a word of a token is written in letters of no one script, `whole` if it is but would be spelled in another one; else None."""
+    kind = None
+    for word in re.findall(r"[^\W\d_]+", unicodedata.normalize("NFC", "".join(map(_basic, token)))):
+        own = [s for s in map(scripts, word) if s is not None]
+        if own and not frozenset.intersection(*own):
+            return "mixed"
+        if _spell(list(word)) != list(word):
+            kind = "whole"
+    return kind
 
 
 TOKEN = re.compile(r"[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
@@ -157,11 +241,8 @@ def form(text: str) -> str:
     return text if text.isascii() else TOKEN.sub(lambda m: token_form(m.group()), text)
 
 
-def form_offsets(text: str) -> tuple[str, list[int]]:
-    """The form of a text and, for each of its characters, the offset in the text it comes from.
-
-    Characters of a token whose form has another length all point at the token's start.
-    """
+def form_offsets(text: str) -> tuple[str, list[int], list[int]]:
+    """The form of a text and, for each of its characters, where in the text that begins and ends which it comes from."""
     kept, at = [], []
     for i, c in enumerate(text):
         c = ("" if text[i + 1 : i + 2] == "\n" else "\n") if c == "\r" else SIMPLE.get(c, c)
@@ -169,14 +250,19 @@ def form_offsets(text: str) -> tuple[str, list[int]]:
             kept.append(c)
             at.append(i)
     plain = "".join(kept)
-    out, where, last = [], [], 0
+    out, starts, ends, last = [], [], [], 0
     for m in TOKEN.finditer(plain):
-        s = token_form(m.group())
-        out += [plain[last : m.start()], s]
-        where += at[last : m.start()]
-        where += at[m.start() : m.end()] if len(s) == m.end() - m.start() else [at[m.start()]] * len(s)
+        between = at[last : m.start()]
+        out.append(plain[last : m.start()])
+        starts += between
+        ends += [i + 1 for i in between]
+        for part, lo, hi in token_parts(m.group()):
+            out.append(part)
+            starts += [at[m.start() + lo]] * len(part)
+            ends += [at[m.start() + hi] + 1] * len(part)
         last = m.end()
-    return "".join([*out, plain[last:]]), where + at[last:]
+    rest = at[last:]
+    return "".join([*out, plain[last:]]), starts + rest, ends + [i + 1 for i in rest]
 
 
 def forms(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -189,6 +275,20 @@ def forms(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", one_form(text).alias("form"))
 
 
+def confusables(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, n_mixed, n_whole): tokens written in several scripts, and tokens that look like ones of another script."""
+
+    @F.pandas_udf("struct<n_mixed:int,n_whole:int>")
+    def counts(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in s:
+            got = [token_kind(m) for m in TOKEN.findall(x)] if not x.isascii() else []
+            out.append((got.count("mixed"), got.count("whole")))
+        return pd.DataFrame(out, columns=["n_mixed", "n_whole"], dtype="int32")
+
+    return docs.filter(F.col(text).isNotNull()).select("doc_id", counts(text).alias("c")).select("doc_id", "c.*")
+
+
 def digests(docs: DataFrame, text: Column | str = "text") -> DataFrame:
     """128-bit digests of each text and of its form; texts without a visible character are left out."""
 
