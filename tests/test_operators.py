@@ -14,6 +14,7 @@ from tracewright.functions import text as T
 from tracewright.operators import claims, extract, panel, passages, verify
 from tracewright.operators.bands import band_pairs
 from tracewright.plans import ledger
+from tracewright.plans import verify as checks
 from tracewright.sources import corpus, filed
 
 # Functions
@@ -94,13 +95,35 @@ def test_verdicts(spark):
     assert verify.checked(cites.limit(0), docs).count() == 0
 
 
-def test_quote_ratio_is_the_best_window():
+def test_similarity_is_that_of_the_best_window():
     r = random.Random(1)
-    for _ in range(50):
-        q, t = ("".join(r.choice("abc ") for _ in range(n)) for n in (r.randint(1, 20), r.randint(0, 80)))
-        step = max(1, len(q) // 2)
+    words = ["income", "units", "of", "the", "portal", "fee", "was", "paid", "in", "full", "a"]
+    reached = 0
+    for k in range(300):
+        t = " ".join(r.choices(words, k=r.randint(0, 60))) if k % 2 else "".join(r.choice("abc ") for _ in range(r.randint(0, 80)))
+        at = r.randint(0, max(0, len(t) - 30))
+        q = list(t[at : at + r.randint(3, 60)] or "x")
+        for _ in range(r.randint(0, max(1, len(q) // 6))):
+            q[r.randrange(len(q))] = r.choice(["", "z", "ab"])
+        q = "".join(q) or "x"
+        step = r.choice([1, 3, max(1, len(q) // 2)])
         best = max(SequenceMatcher(None, q, t[i : i + len(q)]).ratio() for i in range(0, max(1, len(t) - len(q)), step))
-        assert verify.quote_ratio(q, t, step, 2.0) == best
+        got = verify.similarity(q, t, step)
+        assert (best >= 0.85) == (got is not None and got >= 0.85), (q, t)
+        if best >= 0.85:
+            reached += 1
+            assert got == best
+    assert reached > 30
+
+
+def test_screen_keeps_fuzzy_citations(spark, medium):
+    checked = verify.checked(spark.read.parquet(f"{medium}/citations.parquet"), spark.read.parquet(f"{medium}/documents.parquet")).cache()
+    fuzzy = checked.filter("found = 'FUZZY' AND evidence_id IS NOT NULL").count()
+    kept = {f.__name__: f(spark, medium).agg(F.sum("kept")).first()[0] for f in (checks.evidence_screen, checks.evidence_screen_exact)}
+    per_evidence = spark.read.parquet(f"{medium}/evidence.parquet").join(checked.filter("found = 'FUZZY'"), F.col("id") == F.col("evidence_id")).count()
+    assert fuzzy > 30 and kept["evidence_screen"] == kept["evidence_screen_exact"] + per_evidence
+    acc = checks.citation_accuracy(spark, medium).first()
+    assert acc.fuzzy == checked.filter("found = 'FUZZY'").count() and acc.accuracy == acc.score == (acc.exact + acc.fuzzy) / acc.checked
 
 
 # Extraction

@@ -28,11 +28,18 @@ def citation_exact(spark: SparkSession, d: str) -> DataFrame:
     return verify.exact(_cites(spark, d), texts(spark, d))
 
 
-@query(f"""WITH {EXACT} SELECT count(*) AS checked, count(*) FILTER (WHERE found = 'EXACT') AS exact, count(*) FILTER (WHERE found = 'FUZZY') AS fuzzy,
-    count(*) FILTER (WHERE found = 'BAD_FILE') AS bad_file, count(*) FILTER (WHERE found = 'NOT_FOUND') AS not_found,
-    count(*) FILTER (WHERE found IN ('EXACT', 'FUZZY'))::DOUBLE / nullif(count(*), 0)::DOUBLE AS accuracy FROM x""")
+@query(f"""WITH {EXACT} SELECT count(*) AS checked, count(*) FILTER (WHERE found = 'EXACT') AS exact, count(*) FILTER (WHERE found = 'RESIDUE') AS residue,
+    count(*) FILTER (WHERE found = 'BAD_FILE') AS bad_file, count(*) FILTER (WHERE found = 'NOT_FOUND') AS not_found FROM x""")
+def citation_exact_tally(spark: SparkSession, d: str) -> DataFrame:
+    """What the literal stage decides and leaves open."""
+    found = verify.exact(_cites(spark, d), texts(spark, d))
+    return found.agg(F.count("*").alias("checked"), *[F.count_if(F.col("found") == v).alias(v.lower()) for v in ("EXACT", "RESIDUE", "BAD_FILE", "NOT_FOUND")])
+
+
+@query()
 def citation_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return verify.accuracy(verify.exact(_cites(spark, d), texts(spark, d)))
+    """Verdicts, fuzzy ones included, and the share that holds."""
+    return verify.accuracy(verify.checked(table(spark, d, "citations"), texts(spark, d)))
 
 
 @query()
@@ -52,10 +59,17 @@ def citation_verdicts_scorer(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, CASE WHEN kept = 0 AND quarantined > 0 AND tier = 'DIRECT' THEN 'INFERRED' ELSE tier END AS tier, coalesce(kept, 0) AS kept,
     coalesce(quarantined, 0) AS quarantined, CASE WHEN kept = 0 AND quarantined > 0 AND tier = 'DIRECT' THEN 'unverifiable_citation' END AS integrity_flag
     FROM evidence LEFT JOIN p ON id = evidence_id""")
-def evidence_screen(spark: SparkSession, d: str) -> DataFrame:
+def evidence_screen_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence screened by literal quotes alone."""
     return verify.screened(table(spark, d, "evidence"), verify.exact(_cites(spark, d), texts(spark, d)))
 
 
+@query()
+def evidence_screen(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence with its citations kept (exact or fuzzy) and quarantined; DIRECT evidence without a kept one becomes INFERRED."""
+    return verify.screened(table(spark, d, "evidence"), verify.checked(table(spark, d, "citations"), texts(spark, d)))
+
+
 @query(f"""WITH {EXACT} SELECT coalesce(verdict, 'none') AS recorded, found, count(*) AS n
     FROM x JOIN (SELECT DISTINCT cite_id, verdict FROM citations) USING (cite_id) GROUP BY ALL""")
 def verdict_agreement(spark: SparkSession, d: str) -> DataFrame:
