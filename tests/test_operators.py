@@ -180,11 +180,14 @@ def test_repeated_statements_each_have_their_place(spark, tmp_path):
     assert sorted(tuple(r) for r in ledger.trailing_rate(spark, str(tmp_path)).collect()) == lows
 
 
-def test_sentence_around():
+def test_quote(spark):
     t = "First one. Second with 5,000 units; and more. Third."
-    i = t.index("5,000")
-    assert extract.sentence_around(t, i, i + 5) == "Second with 5,000 units; and more."
-    assert len(extract.sentence_around("x" * 1000, 500, 510, 100)) == 100
+    at = lambda t, x: (t, t.index(x), t.index(x) + len(x))
+    rows = [at(t, "5,000"), at(t, "First"), at(t, "Third"), at(t, "Second"), at(t, "one. Second"), at("x" * 1000, "x" * 10), at(f"{'y ' * 500}end", "end"), at("One; Two. Three", "Two.")]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, a int, b int").select(extract.quote(F.col("t"), F.col("a"), F.col("b"))).collect()]
+    second = "Second with 5,000 units; and more."
+    assert got[:5] == [second, "First one.", "Third.", second, f"First one. {second}"]
+    assert len(got[5]) == 400 and got[6] == ("y " * 500 + "end")[-400:].strip() and got[7] == "Two."
 
 
 def test_absence_referents(spark):
