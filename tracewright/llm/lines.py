@@ -7,11 +7,12 @@ removed from each text.
 
 Scale: one pass over the texts gives a narrow row per line (keys, no text); a
 masked form's text comes along once per task. Forms are hashed once for all
-sources. A source's forms that share a bucket are compared exactly (Jaccard of
-the five-word runs, 0.8 or more). A bucket with more than `hot` forms of one
-source is taken apart by the rarest runs of each form, of which alike forms
-share one; what is large even then is compared with its least form, and only
-forms that are not alike to that one are paired with the rest, as far as their
+sources. Different forms that share a bucket and a source are compared exactly
+(Jaccard of the five-word runs, 0.8 or more). A bucket with more than `hot`
+forms is taken apart by source first; one that has more within a source is
+taken apart by the rarest runs of each form, of which alike forms share one;
+what is large even then is compared with its least form, and only forms that
+are not alike to that one are paired with the rest, as far as their
 similarities to it allow. This loses no pair that shares a bucket, and no link
 is made without the exact check. Lines that are equal in compared form are
 linked whatever their masks. Clusters are the connected components of these
@@ -38,7 +39,7 @@ from tracewright.operators.components import components
 from tracewright.session import stored
 
 MIN_CHARS, MIN_DOCS = 30, 6
-WORDS, SIMILAR, BANDS, ROWS, HOT = 5, 0.8, 12, 5, 50
+WORDS, SIMILAR, BANDS, ROWS, HOT = 5, 0.8, 12, 6, 50
 # Month names of the corpus languages, for masking dates.
 MONTHS = (
     "January February March April May June July August September October November December "
@@ -242,7 +243,7 @@ def refined(many: DataFrame, forms: DataFrame) -> DataFrame:
     order, alike sets share one of their first `size` / 5 + 1. The order is by rarity, which gives small parts.
     """
     key = ["source_key", "bucket"]
-    rows = many.select(*key, "form", "size").join(forms.select("form", F.explode("runs").alias("run")), "form")
+    rows = many.select(*key, "form", "size").join(forms.select("form", "runs"), "form").select(*key, "form", "size", F.explode("runs").alias("run"))
     rarity = rows.groupBy(*key, "run").agg(F.count("*").alias("held"))
     first = F.slice(F.sort_array(F.collect_list(F.struct("held", "run"))), 1, F.first("size") - F.ceil(F.first("size") * SIMILAR - 1e-9).cast("int") + 1)
     parts = stored(
@@ -288,22 +289,49 @@ def nodes(occ: DataFrame) -> DataFrame:
 
 
 def links(occ: DataFrame, held: DataFrame, hot: int = HOT) -> DataFrame:
-    """Pairs of nodes (a, b) that are alike; `held` has the forms of each source."""
+    """Pairs of nodes (a, b) that are alike; `held` has the nodes."""
     texts = occ.filter("masked IS NOT NULL").groupBy("form").agg(F.first("masked").alias("masked"))
     forms = stored(hashed(texts))
-    key = ["source_key", "bucket"]
-    keyed = held.join(forms.select("form", F.size("runs").alias("size"), F.explode("buckets").alias("bucket")), "form").select(*key, "form", "size")
-    counts = keyed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
-    inside = stored(keyed.join(counts, key))
-    fine = stored(refined(inside.filter(F.col("n") > hot), forms))
-    few = inside.withColumn("run", F.lit(0)).unionByName(fine.drop("least")).filter(F.col("n") <= hot).drop("n")
+    held = held.select("source_key", "form")
+    # `own` is the source of a form that only one has.
+    spread = held.groupBy("form").agg(F.count("*").alias("sources"), F.when(F.count("*") == 1, F.min("source_key")).alias("own"))
+    keyed = forms.select("form", F.size("runs").alias("size"), F.explode("buckets").alias("bucket"))
+    counts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = stored(keyed.join(counts, "bucket").join(spread, "form"))
     # Sets of very unlike size cannot be alike enough.
     close = F.least("size", "other_size") >= F.greatest("size", "other_size") * SIMILAR
+    other = {"form": "other", "size": "other_size", "sources": "other_sources", "own": "other_own"}
+
+    # Small buckets are paired once for all sources; then the sources of the rarer form that hold the other one count.
+    small = keyed.filter(F.col("n") <= hot).select("bucket", "form", "size", "sources", "own")
+    rare = (F.col("sources") < F.col("other_sources")) | ((F.col("sources") == F.col("other_sources")) & (F.col("form") < F.col("other")))
+    together = F.col("own").isNull() | F.col("other_own").isNull() | (F.col("own") == F.col("other_own"))
+    met = stored(
+        small.join(small.withColumnsRenamed(other), "bucket").filter(F.col("form") != F.col("other")).filter(rare & close & together)
+        .select("form", "other", "own", "other_own").distinct()
+    )
+    of_one = met.filter("own IS NOT NULL").withColumnRenamed("own", "source_key")
+    of_many = met.filter("own IS NULL").join(held, "form").select("form", "other", "source_key", "other_own")
+    met = (
+        of_one.filter("other_own IS NOT NULL").select("source_key", "form", "other")
+        .unionByName(
+            of_one.filter("other_own IS NULL").unionByName(of_many)
+            .join(held.withColumnRenamed("form", "other"), ["source_key", "other"]).select("source_key", "form", "other")
+        )
+    )
+
+    # Large buckets are taken apart by source, what is large in a source as well by rare runs.
+    inside = keyed.filter(F.col("n") > hot).select("bucket", "form", "size").join(held, "form")
+    sizes = inside.groupBy("source_key", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    inside = stored(inside.join(sizes, ["source_key", "bucket"]))
+    fine = stored(refined(inside.filter(F.col("n") > hot), forms))
+    few = inside.withColumn("run", F.lit(0)).unionByName(fine.drop("least")).filter(F.col("n") <= hot).drop("n")
     own = (
-        few.join(few.withColumnsRenamed({"form": "other", "size": "other_size"}), [*key, "run"])
+        few.join(few.withColumnsRenamed({"form": "other", "size": "other_size"}), ["source_key", "bucket", "run"])
         .filter("form < other").filter(close).select("source_key", "form", "other")
     )
-    pairs = own.unionByName(around_least(fine.filter(F.col("n") > hot).drop("n"), forms)).distinct()
+    pairs = met.unionByName(own).unionByName(around_least(fine.filter(F.col("n") > hot).drop("n"), forms))
+    pairs = pairs.select("source_key", F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other")).distinct()
     both, either = counted()
     verified = (
         pairs.join(forms.select("form", F.col("runs").alias("x")), "form")

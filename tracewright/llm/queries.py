@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import leaks, lines, pieces, spans, textform, tokens
+from tracewright.functions.text import WS_CLASS
+from tracewright.plans.registry import compared_sql
 from tracewright.session import table, texts
 
 
@@ -83,3 +85,23 @@ QUERIES = {
         p7_found, p7_spans, p7_items, p8_found, p8_scripts, p8_forms,
     )
 }
+
+_RUNS = f"""q AS (SELECT cite_id, min({{'f': file, 'q': quote}}) AS r FROM citations WHERE cite_id IS NOT NULL AND file IS NOT NULL AND length(quote) >= {spans.AT_LEAST} GROUP BY 1),
+    runs AS (SELECT cite_id, r.f AS file, i, substring(r.q, i, {spans.AT_LEAST}) AS run FROM (SELECT *, unnest(range(1, length(r.q) - {spans.AT_LEAST - 2})) AS i FROM q))"""
+_LINES = f"""l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
+    c AS (SELECT doc_id, source, line_no::INT AS line_no, {compared_sql('line')} AS form FROM l),
+    often AS (SELECT source, form FROM c WHERE length(form) >= {lines.MIN_CHARS} GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}),
+    found AS (SELECT doc_id, line_no FROM c SEMI JOIN often USING (source, form))"""
+SQL = {
+    "p1_found": f"""WITH {_RUNS}, c AS (SELECT DISTINCT cite_id, file, run FROM runs)
+        SELECT DISTINCT a.cite_id AS cite_id_a, b.cite_id AS cite_id_b FROM c a JOIN c b ON a.run = b.run AND a.file <> b.file AND a.cite_id < b.cite_id""",
+    "p1_shares": f"""WITH {_RUNS}, s AS (SELECT run FROM runs GROUP BY run HAVING count(DISTINCT file) > 1),
+        p AS (SELECT cite_id, unnest(range(i, i + {spans.AT_LEAST})) AS place FROM runs SEMI JOIN s USING (run)), n AS (SELECT cite_id, count(DISTINCT place) AS shared FROM p GROUP BY 1)
+        SELECT cite_id, max(length(quote))::INT AS chars, coalesce(any_value(shared), 0) AS shared FROM citations LEFT JOIN n USING (cite_id) WHERE cite_id IS NOT NULL GROUP BY 1""",
+    "p2_found": f"""SELECT doc_id, CASE WHEN list_max(list_transform(string_split_regex(text, '{WS_CLASS}'), lambda x: length(x))) > {pieces.LIMIT} THEN 'forced' ELSE 'natural' END AS cut
+        FROM documents WHERE length(text) > {pieces.LIMIT}""",
+    "p4_found": f"WITH {_LINES} SELECT doc_id, line_no FROM found",
+    "p4_clean": f"""WITH {_LINES}, g AS (SELECT doc_id, list(line_no) AS gone FROM found GROUP BY 1)
+        SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text,
+        coalesce(len(gone), 0)::INT AS removed FROM documents LEFT JOIN g USING (doc_id)""",
+}
