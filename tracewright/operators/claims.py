@@ -26,6 +26,7 @@ being that this these those it its their his her they them we our us you your wh
 whom whose what when where how why not no nor but if then than so such can could may
 might must shall should will would do does did have has had over under between during
 company companies inc llc corp reported report reporting financial financials""".split()
+# What a figure and a word look like.
 FIGURE = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b|\$\s?\d[\d,.]*|\b\d+(?:\.\d+)?%"
 WORD = r"[a-z][a-z\-']{2,}"
 SIMILAR, MARGIN = 0.34, 2
@@ -71,19 +72,42 @@ def features(claims: DataFrame, scope: str) -> DataFrame:
     )
 
 
+def rarest(rows: DataFrame, keys: list[str], kept: Column) -> DataFrame:
+    """(keys, w): the words of each row that are rarest over all rows, `kept` of them.
+
+    Words are in one order, so two rows with enough words in common share one of these; frequent words are
+    no join keys unless a row has no others.
+    """
+    each = rows.select(*keys, F.size("words").alias("n_words"), F.explode("words").alias("w"))
+    held = each.groupBy("w").agg(F.count("*").alias("held"))
+    order = F.sort_array(F.collect_list(F.struct("held", "w")))
+    return (
+        each.join(held, "w").groupBy(*keys, "n_words").agg(order.alias("order"))
+        .select(*keys, F.explode(F.slice("order", F.lit(1), F.greatest(kept, F.lit(0)))).alias("o")).select(*keys, F.col("o.w").alias("w"))
+    )
+
+
 def pairs(f: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(scope, a, b, n_shared, similarity): different claims of one stance that share a figure and enough words.
 
-    The join is by (scope, stance, figure), so claims without a common figure never meet.
+    The join is by (scope, stance, figure, word) over each claim's rarest words, of which similar claims share
+    one, so a figure that many claims of a scope have is split by words.
     """
-    rows = f.filter("stance <> 'AMBIGUOUS'").select("scope", "stance", "id", "words", F.explode("figures").alias("figure"))
-    x = rows.select("scope", "stance", "figure", F.col("id").alias("a"), F.col("words").alias("wa"))
-    y = rows.select("scope", "stance", "figure", F.col("id").alias("b"), F.col("words").alias("wb"))
-    near = F.try_divide(F.size(F.array_intersect("wa", "wb")).cast("double"), F.size(F.array_union("wa", "wb")).cast("double"))
+    rows = f.filter("stance <> 'AMBIGUOUS'").select("scope", "stance", "id", "words", "figures")
+    # Of n words similar ones share at least `similar` * n.
+    first = rarest(rows, ["scope", "id"], (F.col("n_words") - F.ceil(F.col("n_words") * similar - 1e-9) + 1).cast("int"))
+    keyed = rows.join(first, ["scope", "id"]).select("scope", "stance", F.explode("figures").alias("figure"), "w", "id")
+    met = (
+        keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), ["scope", "stance", "figure", "w"])
+        .filter("a < b").select("scope", "a", "b").distinct()
+    )
+    x = rows.select("scope", F.col("id").alias("a"), F.col("words").alias("wa"), F.col("figures").alias("fa"))
+    y = rows.select("scope", F.col("id").alias("b"), F.col("words").alias("wb"), F.col("figures").alias("fb"))
+    near = F.size(F.array_intersect("wa", "wb")).cast("double") / F.size(F.array_union("wa", "wb")).cast("double")
     return (
-        x.join(y, ["scope", "stance", "figure"]).filter("a < b")
-        .withColumn("similarity", F.when((F.size("wa") > 0) & (F.size("wb") > 0), near).otherwise(0.0)).filter(F.col("similarity") >= similar)
-        .groupBy("scope", "a", "b").agg(F.count("*").alias("n_shared"), F.first("similarity").alias("similarity"))
+        met.join(x, ["scope", "a"]).join(y, ["scope", "b"])
+        .select("scope", "a", "b", F.size(F.array_intersect("fa", "fb")).cast("long").alias("n_shared"), near.alias("similarity"))
+        .filter(F.col("similarity") >= similar)
     )
 
 
@@ -123,14 +147,16 @@ def leaders(f: DataFrame, links: DataFrame) -> DataFrame:
 def stable(findings: DataFrame, overlap: int = 4) -> DataFrame:
     """Findings of several runs (run, n, title, confidence) in clusters of like titles: (leader, runs, mean).
 
-    A finding joins the first cluster whose first member shares `overlap` words with it. Meant for the
-    findings of runs, of which there are few a run; titles of common words pair up with each other.
+    A finding joins the first cluster whose first member shares `overlap` words with it. Titles meet by their
+    rarest words, of which those with enough words in common share one.
     """
     word = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"\s+"), lambda w: (F.length(w) > 3) & ~w.isin(STOP)))
     rows = findings.select(F.lit("").alias("scope"), F.format_string("%012d-%06d", "run", "n").alias("id"), "run", "confidence", word.alias("words"))
-    x = rows.select(F.col("id").alias("a"), F.explode("words").alias("w"))
-    y = rows.select(F.col("id").alias("b"), F.explode("words").alias("w"))
-    links = x.join(y, "w").filter("a < b").groupBy("a", "b").count().filter(F.col("count") >= overlap).select(F.lit("").alias("scope"), "a", "b")
+    first = rarest(rows, ["id"], F.col("n_words") - overlap + 1)
+    met = first.withColumnRenamed("id", "a").join(first.withColumnRenamed("id", "b"), "w").filter("a < b").select("a", "b").distinct()
+    words_of = lambda key, name: rows.select(F.col("id").alias(key), F.col("words").alias(name))
+    both = met.join(words_of("a", "wa"), "a").join(words_of("b", "wb"), "b").filter(F.size(F.array_intersect("wa", "wb")) >= overlap)
+    links = both.select(F.lit("").alias("scope"), "a", "b")
     lead = leaders(rows.select("scope", "id", F.lit(0.0).alias("confidence")), links)
     return rows.join(lead, ["scope", "id"]).groupBy("leader").agg(F.count_distinct("run").alias("runs"), F.avg("confidence").alias("mean"))
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import occurrences
+from tracewright.operators.ranks import ranked
 
 HEAD, WINDOW, BUDGET, HITS, SHORTEST = 1500, 2600, 40000, 6, 4
+# What a figure and a term look like.
 FIGURE = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b"
 TERM = r"[A-Za-z][A-Za-z0-9]{3,}"
 # Words that select nothing.
@@ -99,7 +101,6 @@ def excerpts(docs: DataFrame, terms: list[str], budget: int = BUDGET, window: in
     )
 
 
-def ranked(docs: DataFrame, terms: list[str], by: str) -> DataFrame:
+def scored(docs: DataFrame, terms: list[str], by: str) -> DataFrame:
     """(doc_id, by, score, rn): rank of each document within its group, ties by id."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "doc_id")
-    return docs.select("doc_id", by, score(F.col("text"), terms).alias("score")).withColumn("rn", F.row_number().over(w))
+    return ranked(docs.select("doc_id", by, score(F.col("text"), terms).alias("score")), by, F.desc("score"), F.col("doc_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import clean_id
 from tracewright.operators import claims
+from tracewright.operators.ranks import ranked
 from tracewright.plans.registry import Registry, clean_id_sql
 from tracewright.session import table
 
@@ -142,17 +143,37 @@ def state_tally(spark: SparkSession, d: str) -> DataFrame:
     return hypothesis_states(spark, d).groupBy("state").agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("n_cases"))
 
 
-@query(f"""WITH s AS ({STATES}), t AS (SELECT case_id, id, any_value(left(claim, 120)) AS title, max(confidence) AS confidence, max(len(supporting)) AS n_supporting FROM hypotheses GROUP BY 1, 2),
+@query(f"""WITH s AS ({STATES}), t AS (SELECT case_id, id, min(left(claim, 120)) AS title, max(confidence) AS confidence, max(len(supporting)) AS n_supporting FROM hypotheses GROUP BY 1, 2),
     j AS (SELECT case_id, id, title, confidence, n_supporting::INT AS n_supporting FROM s JOIN t USING (case_id, id) WHERE state IN ('active', 'contested') AND confidence IS NOT NULL)
     SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, id)::INT AS rn FROM j""")
 def surviving_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings that are neither refuted nor blocked, per case by confidence."""
     t = table(spark, d, "hypotheses").groupBy("case_id", "id").agg(
-        F.first(F.left("claim", F.lit(120))).alias("title"), F.max("confidence").alias("confidence"), F.max(F.size("supporting")).alias("n_supporting")
+        F.min(F.left("claim", F.lit(120))).alias("title"), F.max("confidence").alias("confidence"), F.max(F.size("supporting")).alias("n_supporting")
     )
     rows = hypothesis_states(spark, d).filter("state IN ('active', 'contested')").select("case_id", "id").join(t, ["case_id", "id"])
-    rn = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("confidence"), "id"))
-    return rows.filter("confidence IS NOT NULL").withColumn("rn", rn)
+    return ranked(rows.filter("confidence IS NOT NULL"), "case_id", F.desc("confidence"), F.col("id"))
+
+
+@query(f"""WITH s AS ({STATES}), t AS (SELECT case_id, id, max(confidence) AS confidence FROM hypotheses GROUP BY 1, 2)
+    SELECT case_id, id, state, confidence, row_number() OVER (PARTITION BY case_id ORDER BY list_position(['active', 'contested', 'blocked', 'refuted'], state), coalesce(confidence, -1) DESC, id, n_against)::INT AS rn
+    FROM s JOIN t USING (case_id, id)""")
+def hypothesis_board(spark: SparkSession, d: str) -> DataFrame:
+    """All hypotheses of a case in the order a board shows them: by state, then by confidence."""
+    t = table(spark, d, "hypotheses").groupBy("case_id", "id").agg(F.max("confidence").alias("confidence"))
+    rows = hypothesis_states(spark, d).join(t, ["case_id", "id"]).select("case_id", "id", "state", "confidence", "n_against")
+    place = F.array_position(F.array(*map(F.lit, ("active", "contested", "blocked", "refuted"))), F.col("state"))
+    return ranked(rows, "case_id", place, F.desc(F.coalesce("confidence", F.lit(-1.0))), F.col("id"), F.col("n_against")).drop("n_against")
+
+
+@query()
+def finding_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of all cases in clusters of like words, each case taken as a run: in how many a cluster comes up."""
+    h = table(spark, d, "hypotheses").groupBy("case_id", "id").agg(F.min("claim").alias("title"), F.max("confidence").alias("confidence"))
+    # Numbers of cases and claims: their place among all in the order of their ids.
+    numbered = ranked(h.withColumn("all_", F.lit(0)), "all_", F.col("case_id"), F.col("id"), name="n")
+    first = numbered.groupBy("case_id").agg(F.min("n").alias("run"))
+    return claims.stable(numbered.join(first, "case_id").select("run", "n", "title", "confidence"))
 
 
 @query()
@@ -173,12 +194,12 @@ def uncertainty_order(spark: SparkSession, d: str) -> DataFrame:
 WORDS = r"list_distinct(list_filter(string_split_regex(lower(coalesce(claim, '')), '[ ]+'), lambda x: length(x) > 3))"
 
 
-@query(f"""WITH h AS (SELECT case_id, id, any_value(claim) AS claim, max(confidence) AS confidence FROM hypotheses GROUP BY 1, 2),
+@query(f"""WITH h AS (SELECT case_id, id, min(claim) AS claim, max(confidence) AS confidence FROM hypotheses GROUP BY 1, 2),
     k AS (SELECT case_id, id, confidence, unnest({WORDS}) AS word FROM h), c AS (SELECT word, count(DISTINCT case_id) AS n_cases, avg(confidence::DECIMAL(9,4)::DOUBLE) AS m, count(*) AS n FROM k GROUP BY word)
     SELECT word, n_cases, n FROM c WHERE n_cases >= 2""")
 def word_stability(spark: SparkSession, d: str) -> DataFrame:
     """Words of claims that come up in several cases."""
-    h = table(spark, d, "hypotheses").groupBy("case_id", "id").agg(F.first("claim").alias("claim"))
+    h = table(spark, d, "hypotheses").groupBy("case_id", "id").agg(F.min("claim").alias("claim"))
     word = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("claim", F.lit(""))), "[ ]+"), lambda x: F.length(x) > 3))
     return (
         h.select("case_id", "id", F.explode(word).alias("word")).groupBy("word")

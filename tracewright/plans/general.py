@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.operators import drift, orphans
+from tracewright.plans.registry import clean_id_sql
 from tracewright.session import table
 
 
@@ -29,3 +30,18 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_table)}
+
+ORPHANS = f"""refs AS (SELECT DISTINCT 'hypotheses' AS src_table, id AS src_id, case_id, recorded_at AS written, ref_field, {clean_id_sql('x')} AS ref_id, 'e' AS kind
+        FROM (SELECT *, 'supporting' AS ref_field, unnest(supporting) AS x FROM hypotheses UNION ALL SELECT *, 'contradicting', unnest(contradicting) FROM hypotheses)
+        UNION SELECT 'verdicts', verdict_id, case_id, recorded_at, 'hypothesis_id', {clean_id_sql('hypothesis_id')}, 'h' FROM verdicts),
+    rows AS (SELECT case_id, {clean_id_sql('id')} AS ref_id, 'e' AS kind, recorded_at, deleted_at FROM evidence
+        UNION ALL SELECT case_id, {clean_id_sql('id')}, 'h', recorded_at, deleted_at FROM hypotheses
+        UNION ALL SELECT case_id, {clean_id_sql('m')}, 'h', recorded_at, deleted_at FROM (SELECT *, unnest(merged_from) AS m FROM hypotheses)),
+    known AS (SELECT case_id, ref_id, kind, min(recorded_at) AS born, min(deleted_at) AS died FROM rows WHERE ref_id IS NOT NULL GROUP BY ALL),
+    orphans AS (SELECT refs.*, CASE WHEN known.kind IS NULL THEN 'missing' WHEN born > written THEN 'late' WHEN died <= written THEN 'deleted' END AS reason
+        FROM refs LEFT JOIN known USING (case_id, ref_id, kind) WHERE ref_id IS NOT NULL)"""
+SQL = {
+    "p3_found": f"WITH {ORPHANS} SELECT DISTINCT src_table, src_id, ref_field, ref_id, reason FROM orphans WHERE reason IS NOT NULL",
+    "p3_report": f"""WITH {ORPHANS}, m AS (SELECT DISTINCT src_table, src_id, ref_field, ref_id, reason, strftime(written, '%Y-%m') AS month FROM orphans WHERE reason IS NOT NULL)
+        SELECT src_table, month, ref_field, reason, count(*) AS n_refs FROM m GROUP BY ALL""",
+}
