@@ -230,10 +230,15 @@ def node(form: str) -> Column:
     return F.xxhash64("source_key", form)
 
 
-def counted() -> tuple[Column, Column]:
-    """The runs that the sets x and y share, and those of either."""
-    both = F.size(F.array_intersect("x", "y"))
-    return both, F.size("x") + F.size("y") - both
+def likeness() -> Column:
+    """The Jaccard similarity of the sets x and y."""
+    share = F.size(F.array_intersect("x", "y")) / (F.size("x") + F.size("y"))
+    return share / (1 - share)
+
+
+def alike() -> Column:
+    """Whether it reaches SIMILAR: with b runs in common, b / (x + y - b) does if b / (x + y) reaches this."""
+    return F.size(F.array_intersect("x", "y")) >= (F.size("x") + F.size("y")) * (SIMILAR / (1 + SIMILAR)) - 1e-9
 
 
 def refined(many: DataFrame, forms: DataFrame) -> DataFrame:
@@ -261,12 +266,11 @@ def around_least(parts: DataFrame, forms: DataFrame) -> DataFrame:
     least one differs by no more than alike forms' can, as the Jaccard distance keeps the triangle inequality.
     """
     key = ["source_key", "bucket", "run"]
-    both, either = counted()
     near = (
         parts.select("form", "least").distinct()
         .join(forms.select("form", F.col("runs").alias("x")), "form")
         .join(forms.select(F.col("form").alias("least"), F.col("runs").alias("y")), "least")
-        .select("form", "least", (both / either).alias("near"))
+        .select("form", "least", likeness().alias("near"))
     )
     parts = stored(parts.join(near, ["form", "least"]))
     joined = F.col("near") >= SIMILAR - 1e-9
@@ -332,11 +336,10 @@ def links(occ: DataFrame, held: DataFrame, hot: int = HOT) -> DataFrame:
     )
     pairs = met.unionByName(own).unionByName(around_least(fine.filter(F.col("n") > hot).drop("n"), forms))
     pairs = pairs.select("source_key", F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other")).distinct()
-    both, either = counted()
     verified = (
         pairs.join(forms.select("form", F.col("runs").alias("x")), "form")
         .join(forms.select(F.col("form").alias("other"), F.col("runs").alias("y")), "other")
-        .filter(both >= either * SIMILAR)
+        .filter(alike())
         .select(node("form").alias("a"), node("other").alias("b"))
     )
     # Lines of one compared form can differ in case and so in masks.
