@@ -61,6 +61,9 @@ def test_texts_manifest_and_pages(spark, tmp_path):
     corpus.write_manifest(listed, str(tmp_path / "m"))
     got = corpus.read_manifest(spark, str(tmp_path / "m" / "*.json"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in listed.collect()}
+    two = listed.unionByName(spark.createDataFrame([("D", "2", "g", "8-K", "2020", "u", 3)], listed.schema))
+    corpus.write_manifest(two.coalesce(1), str(tmp_path / "two"))
+    assert {tuple(r) for r in corpus.read_manifest(spark, str(tmp_path / "two"), lines=True).collect()} == {tuple(r) for r in two.collect()}
     page = "<html><head><style>x{}</style></head><body><p>One</p><script>no()</script>\n\n\n\n<p>Two &amp;  three</p></body></html>"
     assert corpus.page_text(page) == "One\n\nTwo & three" and corpus.page_text(None) is None and corpus.page_text("") == ""
     cat = spark.createDataFrame([("c", ["8-K", "10-K"], ["d1", "d2"])], "cik string, form array<string>, filed array<string>")

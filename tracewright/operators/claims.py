@@ -111,15 +111,15 @@ def pairs(f: DataFrame, similar: float = SIMILAR) -> DataFrame:
     )
 
 
-def leaders(f: DataFrame, links: DataFrame) -> DataFrame:
-    """(scope, id, leader): the greedy merge in order of confidence, found in rounds over all claims at once.
+def leaders(f: DataFrame, links: DataFrame, rank: Column | None = None) -> DataFrame:
+    """(scope, id, leader): the greedy merge in order of confidence, or of `rank`, found in rounds over all claims at once.
 
     A claim leads once every better claim it pairs with has been absorbed; it is
     absorbed by the best leader it pairs with. That is what going through the
     claims one by one gives, but each round is two joins over the open claims,
     and only chains of open claims, not their number, make further rounds.
     """
-    rank = F.struct(-F.col("confidence"), F.col("id"))
+    rank = F.struct(-F.col("confidence") if rank is None else rank, F.col("id"))
     both = links.select("scope", "a", "b").unionByName(links.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
     of = f.select("scope", F.col("id").alias("a"), rank.alias("ra"))
     to = f.select("scope", F.col("id").alias("b"), rank.alias("rb"))

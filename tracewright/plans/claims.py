@@ -9,7 +9,7 @@ from tracewright.functions.text import clean_id
 from tracewright.operators import claims
 from tracewright.operators.ranks import ranked
 from tracewright.plans.registry import Registry, clean_id_sql
-from tracewright.session import table
+from tracewright.session import stored, table
 
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
@@ -64,6 +64,15 @@ def claim_leaders(spark: SparkSession, d: str) -> DataFrame:
     return claims.leaders(f, claims.pairs(f))
 
 
+@query()
+def arrival_leaders(spark: SparkSession, d: str) -> DataFrame:
+    """The claim each claim is merged into if the first that arrived absorbs what comes later."""
+    h = table(spark, d, "hypotheses")
+    born = h.groupBy(F.col("case_id").alias("scope"), F.coalesce("claim", F.lit("")).alias("claim")).agg(F.min("recorded_at").alias("arrived"))
+    f = stored(claims.features(h, "case_id").join(born, ["scope", "claim"]))
+    return claims.leaders(f, claims.pairs(f), F.col("arrived"))
+
+
 @query()
 def claims_merged(spark: SparkSession, d: str) -> DataFrame:
     return claims.merged(table(spark, d, "hypotheses"))

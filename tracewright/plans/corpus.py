@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import squeeze
 from tracewright.plans.registry import Registry, squeeze_sql
-from tracewright.session import table, texts
+from tracewright.session import shared_folder, table, texts
 from tracewright.sources import corpus
 
 query = Registry()
@@ -125,3 +127,37 @@ def agent_forms(spark: SparkSession, d: str) -> DataFrame:
 def forbidden_files(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose file name holds a forbidden word, as of an answer key."""
     return texts(spark, d).filter(F.rlike(F.lower("file"), F.lit("nt10-k|key|truth"))).select("doc_id", "file")
+
+
+FORMS = ("8-K", "10-K", "10-Q", "S-1")
+
+
+@query(f"""WITH e AS (SELECT DISTINCT d.file AS file, {CLEAN.format('d.form')} AS form, try_cast(d.filed AS DATE) AS filed FROM {ENTRIES})
+    SELECT doc_id, file, form, filed::VARCHAR AS filed FROM e JOIN documents USING (file)
+    WHERE form IN ('8-K', '10-K', '10-Q', 'S-1') AND filed BETWEEN DATE '2018-01-01' AND DATE '2022-12-31' AND length({squeeze_sql('text')}) > 0""")
+def usable_filings(spark: SparkSession, d: str) -> DataFrame:
+    """Listed filings of some forms and years that have a text."""
+    e = corpus.entries(table(spark, d, "manifests")).select("file", corpus.clean_form(F.col("form")).alias("form"), F.col("filed").try_cast("date").alias("filed")).distinct()
+    return usable(e, texts(spark, d), FORMS, "2018-01-01", "2022-12-31").select("doc_id", "file", "form", F.col("filed").cast("string"))
+
+
+def usable(listed: DataFrame, docs: DataFrame, forms: tuple[str, ...], first: str, last: str) -> DataFrame:
+    """Listed filings of the given forms between two days whose document is not empty."""
+    some = listed.filter(F.col("form").isin(*forms) & F.col("filed").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return docs.filter(F.length(squeeze(F.col("text"))) > 0).select("doc_id", "file").join(some, "file")
+
+
+@query(f"""SELECT doc_id, len(string_split(flat, ' | '))::INT AS n_blocks, length(flat)::INT AS n_chars
+    FROM (SELECT doc_id, {squeeze_sql(f"regexp_replace(text, '{BLANK_LINE}', ' | ', 'g')")} AS flat FROM documents WHERE text IS NOT NULL)""")
+def flat_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts made flat with a bar where a blank line stood, so that nothing is read across it."""
+    flat = squeeze(F.regexp_replace("text", BLANK_LINE, " | "))
+    return texts(spark, d).filter("text IS NOT NULL").select("doc_id", F.size(F.split(flat, r" \| ", -1)).alias("n_blocks"), F.length(flat).alias("n_chars"))
+
+
+@query(f"SELECT company, cik, d.file AS file, d.form AS form, d.filed AS filed, d.url AS url, d.chars AS chars FROM {ENTRIES}")
+def manifest_copy(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest entries written as JSON, one object a company, and read back."""
+    path = f"{shared_folder(spark)}/manifests/{uuid.uuid4().hex}"
+    corpus.write_manifest(corpus.entries(table(spark, d, "manifests")), path)
+    return corpus.read_manifest(spark, path, lines=True)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import events
+from tracewright.operators import events, verify
+from tracewright.operators.ranks import ranked
 from tracewright.plans.registry import Registry
-from tracewright.session import table
+from tracewright.session import stored, table, texts
 from tracewright.streaming import log
 
 query = Registry()
@@ -47,14 +48,16 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
     return log.drain(log.state(log.tail(spark, f"{d}/events.parquet", schema)), "complete")
 
 
-@query()
+@query("""SELECT epoch_us(date_trunc('day', ts)) AS start, event_type, count(*) AS n FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts that the watermark has made final.
 
     What is there is one batch, so nothing of it is late, in whatever files and order it lies.
     """
     schema = table(spark, d, "events").schema
-    return log.drain(log.windowed(log.tail(spark, f"{d}/events.parquet", schema, files_per_batch=None)), "append")
+    counts = log.drain(log.windowed(log.tail(spark, f"{d}/events.parquet", schema)), "append")
+    return counts.select(F.unix_micros("start").alias("start"), "event_type", "n")
 
 
 @query("""SELECT event_id, event_type, user_id FROM events
@@ -81,6 +84,13 @@ def topk_leads_per_group(spark: SparkSession, d: str) -> DataFrame:
     return events.top_k(_events(spark, d).select("event_type", "event_id", "value"), "event_type", 3, F.desc("value"), F.col("event_id"))
 
 
+@query("SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id)::INT AS rn FROM events QUALIFY rn > 3")
+def dropped_leads(spark: SparkSession, d: str) -> DataFrame:
+    """What the three of highest priority per type leave out."""
+    e = _events(spark, d).select("event_type", "event_id", "value")
+    return ranked(e, "event_type", F.desc("value"), F.col("event_id")).filter("rn > 3")
+
+
 @query("SELECT event_id, event_type, value FROM events ORDER BY value DESC, event_id LIMIT 25")
 def priority_pop(spark: SparkSession, d: str) -> DataFrame:
     """The next 25 of the queue, by priority, then first come first."""
@@ -154,3 +164,11 @@ def recorded_by_month(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("kind", F.date_format("recorded_at", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("n"), F.count_distinct("case_id").alias("n_cases"), F.count("deleted_at").alias("n_deleted")
     )
+
+
+@query()
+def stream_screen(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence screened as it arrives: each micro-batch loses the citations that do not hold."""
+    found = stored(verify.checked(table(spark, d, "citations"), texts(spark, d)))
+    stream = log.tail(spark, f"{d}/evidence.parquet", table(spark, d, "evidence").schema)
+    return log.each_batch(stream, lambda batch: verify.screened(batch, found))

@@ -23,9 +23,9 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per listed filing of JSON manifests."""
-    return entries(spark.read.schema(MANIFEST).option("multiLine", True).json(path))
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per listed filing of JSON manifests: one object a file, or with `lines` one a line."""
+    return entries(spark.read.schema(MANIFEST).option("multiLine", not lines).json(path))
 
 
 def entries(manifests: DataFrame) -> DataFrame:

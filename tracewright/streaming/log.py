@@ -18,10 +18,15 @@ from pyspark.sql.types import StructType
 from tracewright.session import shared_folder
 
 
-def tail(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = 1) -> DataFrame:
+def append(rows: DataFrame, path: str) -> None:
+    """Add events (actor, kind, payload, ...) to a log, each with an id of its own and the time."""
+    rows.select(F.uuid().alias("event_id"), F.current_timestamp().alias("ts"), "*").write.mode("append").parquet(path)
+
+
+def tail(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
     """The log from its beginning, then what is added; times become TIMESTAMP, which watermarks need.
 
-    With `files_per_batch` None all files that are there are one batch: with a watermark, files that are
+    All files that are there are one batch unless `files_per_batch` is given: with a watermark, files that are
     not cut by time must come so, else the first moves it past the rows of the others.
     """
     # As a pattern the path may be one file as well as a folder of files.
@@ -34,7 +39,8 @@ def tail(spark: SparkSession, path: str, schema: StructType, files_per_batch: in
 def drain(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
     """Run a stream over what is there and return its sink as a table.
 
-    `complete` replaces the table with each batch; `append` adds each batch under its id.
+    `complete` replaces the table with each batch, once per run as a run takes all that is there; `append`
+    adds each batch under its id.
     """
     spark = stream.sparkSession
     folder = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
@@ -47,8 +53,7 @@ def drain(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    table = spark.read.schema(stream.schema).parquet(f"{folder}/table")
-    return table
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table").select(*stream.columns)
 
 
 def counts(events: DataFrame) -> DataFrame:
@@ -73,6 +78,16 @@ def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
     )
 
 
-def by_batch(apply: Callable[[DataFrame, int], None], stream: DataFrame, checkpoint: str) -> None:
-    """Apply batch operators to each micro-batch of what is there."""
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def each_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """Apply a batch operator to each micro-batch of what is there and return what all of them gave.
+
+    Each batch's rows are kept under its id, so a batch that is run again replaces its own.
+    """
+    spark = stream.sparkSession
+    folder = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        operator(batch).write.mode("overwrite").parquet(f"{folder}/table/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/table").drop("batch")
