@@ -34,17 +34,13 @@ def test_text_functions(spark):
 
 
 REPLIES = [
-    ('{"a": 1}', '{"a": 1}'), ("```json\n{\"a\": 1}\n```", '{"a": 1}'), ('Sure: {"a": {"b": "}"}} done', '{"a": {"b": "}"}}'),
-    ('{"a": [1, 2,],}', '{"a": [1, 2]}'), ("no object", None), ("", None), (None, None), ("{broken", None),
-    ('{"q": "say \\"hi\\" {"}', '{"q": "say \\"hi\\" {"}'), ('text } before {"a": null}', '{"a": null}'),
+    ('{"a": 1}', '{"a":1}'), ("```json\n{\"a\": 1}\n```", '{"a":1}'), ('Sure: {"a": {"b": "}"}} done', '{"a":{"b":"}"}}'),
+    ('{"a": [1, 2,],}', '{"a":[1,2]}'), ("no object", None), ("", None), (None, None), ("{broken", None),
+    ('{"q": "say \\"hi\\" {"}', '{"q":"say \\"hi\\" {"}'), ('text } before {"a": null}', '{"a":null}'), ('{"s": "a,]", "t": [",}",],}', '{"s":"a,]","t":[",}"]}'),
+    ('first {"a": 1} then {"b": 2}', '{"a":1}'), ("x ```\nnothing\n``` {\"c\": 3}", '{"c":3}'), ("```\n{\"d\": 4}\n``` {\"c\": 3}", '{"d":4}'),
 ]
 
 
-@pytest.mark.parametrize(("raw", "expected"), REPLIES)
-def test_json_object(raw, expected):
-    assert records.json_object(raw) == expected
-
-
 def test_extract_json(spark):
     assert values(spark, records.extract_json, [r for r, _ in REPLIES]) == [e for _, e in REPLIES]
 

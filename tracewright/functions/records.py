@@ -1,54 +1,27 @@
-"""Reading JSON objects out of what an agent wrote."""
+"""Reading JSON objects out of what an agent wrote, in the JVM."""
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
-TRAILING = re.compile(r",\s*([}\]])")
-
-
-def first_balanced(text: str) -> str | None:
-    """The first balanced {...}, braces within strings not counted."""
-    start = text.find("{")
-    depth, i = 0, start
-    quoted = False
-    while 0 <= i < len(text):
-        c = text[i]
-        if quoted:
-            i += c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if depth == 0:
-                return text[start : i + 1]
-        i += 1
-    return None
-
-
-def json_object(text: str | None) -> str | None:
-    """The JSON object in a reply, fenced blocks first, trailing commas forgiven; None if there is none."""
-    for part in [*FENCE.findall(text or ""), text or ""]:
-        blob = first_balanced(part)
-        for attempt in (blob, TRAILING.sub(r"\1", blob)) if blob else ():
-            try:
-                return json.dumps(json.loads(attempt), ensure_ascii=False)
-            except ValueError:
-                continue
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def extract_json(s: pd.Series) -> pd.Series:
-    return s.map(json_object)
+
+FENCED = r"(?is)```(?:json)?\s*(.*?)```"
+# A string, which stays, or a comma in front of a closing bracket.
+LOOSE_COMMA = r'("(?:[^"\\]|\\.)*+")|,(?=\s*[}\]])'
+
+
+def _object(text: Column) -> Column:
+    """What a text holds from its first brace on, as a VARIANT, if that is a JSON object; the parser stops at its end."""
+    start = F.instr(text, "{")
+    rest = F.when(start > 0, F.substring(text, start, F.length(text)))
+    return F.coalesce(F.try_parse_json(rest), F.try_parse_json(F.regexp_replace(rest, LOOSE_COMMA, "$1")))
+
+
+def extract_json(reply: Column) -> Column:
+    """The JSON object in a reply as JSON text: of fenced blocks first, commas too many forgiven; NULL if there is none."""
+    places = F.array_append(F.regexp_extract_all(reply, F.lit(FENCED), F.lit(1)), reply)
+    found = F.array_compact(F.transform(places, lambda p: F.to_json(_object(p))))
+    return F.try_element_at(found, F.lit(1))
 
 
 def widest_object(reply: Column) -> Column:

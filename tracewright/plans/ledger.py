@@ -174,14 +174,16 @@ def in_order(rows: DataFrame, *order: Column) -> DataFrame:
     SELECT *, {_ordered_sql('coalesce(consideration, 0) DESC, settled_in, key')} FROM g""")
 def engagement_register(spark: SparkSession, d: str) -> DataFrame:
     """Each party's first disclosure per way of settlement, gaps filled from later ones, the largest first."""
-    return engaged(extract.facts(_docs(spark, d), "equity", "cash"))
+    rows = engaged(extract.facts(_docs(spark, d), "equity", "cash"))
+    return in_order(rows, F.desc(F.coalesce("consideration", F.lit(0.0))), F.col("settled_in"), F.col("key"))
 
 
 def engaged(f: DataFrame) -> DataFrame:
+    """The register of equity and cash facts, in no order."""
     rows = f.filter("kind IN ('equity', 'cash')").select(
         "file", "k", F.col("kind").alias("settled_in"), "party", F.col("amount").alias("consideration"), F.when(F.col("kind") == "equity", F.col("unit_price")).alias("unit_price")
     )
-    return in_order(extract.register(rows), F.desc(F.coalesce("consideration", F.lit(0.0))), F.col("settled_in"), F.col("key"))
+    return extract.register(rows)
 
 
 @query(f"""WITH {_matches_sql(CONC)}, {PLACED},
@@ -443,13 +445,13 @@ def ledger_audit(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     register = engaged(f).groupBy("settled_in").agg(F.count("*").alias("n"), F.sum(c("consideration").cast("decimal(18,2)")).alias("v"))
     cards = f.filter("kind = 'rate'").select("low", "high").distinct().agg(F.count("*").alias("n"), F.max("high").alias("v"))
-    prices, none = spread(f), F.lit(None)
+    against = lambda name, v: F.struct(F.lit(f"equity against {name}").alias("item"), c(v).alias("value"))
+    prices = spread(f).select(F.inline(F.array(against("published", "multiple_vs_published"), against("cash", "multiple_vs_cash"))))
     return (
         part("engagements", register, c("settled_in"), c("n"), c("v"))
         .unionByName(part("rate cards", cards, F.lit("all"), c("n"), c("v")))
         .unionByName(part("concentration", concentrated(f), c("period"), c("n_customers"), c("named_share_pct")))
         .unionByName(part("settled", settled(f), c("year"), c("equity_deals") + c("cash_deals"), c("equity_share")))
         .unionByName(part("reported", against_reported(f), c("year"), c("n_excluded"), c("residual")))
-        .unionByName(part("prices", prices, F.lit("equity against published"), none, c("multiple_vs_published")))
-        .unionByName(part("prices", prices, F.lit("equity against cash"), none, c("multiple_vs_cash")))
+        .unionByName(part("prices", prices, c("item"), F.lit(None), c("value")))
     )

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.functions.records import extract_json
+from tracewright.functions.records import extract_json, widest_object
 from tracewright.plans.registry import Registry
 from tracewright.session import table
 
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
 
-RUNS = """r AS (SELECT series, bench_file, line_no, raw::JSON AS o FROM bench_raw WHERE raw IS NOT NULL AND json_valid(raw) AND json_type(raw) = 'OBJECT'),
-    v AS (SELECT series, (o->>'run')::BIGINT AS run, arg_max({'f': o->>'n_findings', 'a': o->>'citation_accuracy', 's': o->>'stop_reason', 'e': o->>'counts', 'x': o->>'overrides'}, (bench_file, line_no)) AS m FROM r GROUP BY 1, 2),
+RUNS = """r AS (SELECT series, bench_file, exported_at, line_no, raw::JSON AS o FROM bench_raw WHERE raw IS NOT NULL AND json_valid(raw) AND json_type(raw) = 'OBJECT'),
+    v AS (SELECT series, (o->>'run')::BIGINT AS run, arg_max({'f': o->>'n_findings', 'a': o->>'citation_accuracy', 's': o->>'stop_reason', 'e': o->>'counts', 'x': o->>'overrides'}, (exported_at, bench_file, line_no)) AS m FROM r GROUP BY 1, 2),
     runs AS (SELECT series, run, try_cast(m.f AS DOUBLE) AS n_findings, try_cast(m.a AS DOUBLE) AS accuracy, m.s AS stop_reason, m.x AS overrides FROM v)"""
 
 
@@ -22,11 +22,11 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "bench_raw").withColumn("o", F.try_parse_json("raw")).filter(F.startswith(F.schema_of_variant("o"), F.lit("OBJECT")))
     get = lambda k, t: F.try_variant_get("o", f"$.{k}", t)
     rows = raw.select(
-        "series", "bench_file", "line_no", get("run", "bigint").alias("run"), get("n_findings", "string").try_cast("double").alias("n_findings"),
+        "series", "bench_file", "exported_at", "line_no", get("run", "bigint").alias("run"), get("n_findings", "string").try_cast("double").alias("n_findings"),
         get("citation_accuracy", "string").try_cast("double").alias("accuracy"), get("stop_reason", "string").alias("stop_reason"),
         get("overrides", "array<string>").alias("overrides"),
     )
-    last = F.max_by(F.struct("n_findings", "accuracy", "stop_reason", "overrides"), F.struct("bench_file", "line_no"))
+    last = F.max_by(F.struct("n_findings", "accuracy", "stop_reason", "overrides"), F.struct("exported_at", "bench_file", "line_no"))
     return rows.groupBy("series", "run").agg(last.alias("r")).select("series", "run", "r.*")
 
 
@@ -68,12 +68,18 @@ def override_counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def repaired_records(spark: SparkSession, d: str) -> DataFrame:
     """Per export, how many rows hold a JSON object as they are and after repair."""
-    r = table(spark, d, "bench_raw").select("bench_file", "raw", extract_json("raw").alias("fixed"))
+    r = table(spark, d, "bench_raw").select("bench_file", "raw", extract_json(F.col("raw")).alias("fixed"))
     return r.groupBy("bench_file").agg(
         F.count("*").alias("n"), F.count(F.try_parse_json("raw")).alias("n_valid"), F.count("fixed").alias("n_repaired")
     )
 
 
+@query("""SELECT bench_file, count(*) AS n, count(*) FILTER (WHERE json_valid(regexp_extract(raw, '(?s)\\{.*\\}'))) AS n_widest FROM bench_raw GROUP BY 1""")
+def widest_records(spark: SparkSession, d: str) -> DataFrame:
+    """Per export, how many rows hold JSON between their first and their last brace."""
+    return table(spark, d, "bench_raw").groupBy("bench_file").agg(F.count("*").alias("n"), F.count(widest_object(F.col("raw"))).alias("n_widest"))
+
+
 @query("""SELECT case_id, count(*) FILTER (WHERE survives) AS hits, count(*) FILTER (WHERE survives IS NULL) AS partial, count(*) AS n,
     (count(*) FILTER (WHERE survives) + 0.5::DOUBLE * count(*) FILTER (WHERE survives IS NULL)) / count(*) AS recovery,
     count(*) FILTER (WHERE coalesce(unsupported_leap, false)) AS unsupported FROM (SELECT DISTINCT * FROM verdicts) GROUP BY case_id""")
