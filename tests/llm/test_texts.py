@@ -166,6 +166,21 @@ def test_spans_fit_the_original(spark):
         assert x.n_words > len(leaks.words_of(item)) or (x.start, x.end) == (at, at + len(item))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7])
+def test_runs_equal_brute_force(n):
+    r = random.Random(n)
+    for _ in range(400):
+        items = [(k, " ".join(r.choices("ab", k=r.randint(0, 16)) + r.choices("cd", k=r.randint(0, 3)))) for k in range(3)]
+        text = " ".join(r.choices("abcd", weights=(5, 5, 1, 1), k=r.randint(0, 30)))
+        words, found = leaks.patterns(items, n)
+        line = leaks.line_of(text)
+        hits = [(i, places) for p, places in found.items() for i in range(len(line)) if line.startswith(p, i)]
+        runs = leaks._runs(line.split(), sorted(hits), words, n)
+        assert {(0, k) for k, _, _ in runs} == brute_leaks({0: text}, items, n)
+        for k, a, b in runs:
+            assert b - a >= n and f" {' '.join(line.split()[a:b])} " in f" {' '.join(words[k])} "
+
+
 def test_leaks_edge_cases(spark):
     twelve = " ".join(f"w{i}" for i in range(12))
     docs = make(spark, [None, "", f"X {twelve.upper()}, y", twelve.replace(" ", "_-\u00a0"), twelve[:-1] + "2", f"{twelve} {twelve}"])

@@ -1,12 +1,12 @@
 """Problem 7: evaluation texts that leak into training text.
 
 Method: the items, in the one form of problem 8 and as words, give one
-Aho-Corasick automaton over all their runs of `words` words. Its letters are
-word numbers: words that no item has are 0, so an item of n words makes some
-`words` * n nodes and a document is read as a row of numbers. Each document is
-scanned once, and the hits are merged into the longest run per item and mapped
-back to offsets in the original text, through normalisation, character by
-character.
+Aho-Corasick automaton. Its patterns are runs of half of `words` words, taken
+at such places of each item that every run of `words` words holds one; so an
+item makes no more nodes than it has characters. Each document is scanned once;
+a hit is extended word by word both ways, and runs of `words` or more are
+mapped back to offsets in the original text, through normalisation, character
+by character.
 
 The items are a withheld set of fixed size. They are read in blocks of at most
 `block_chars` characters; a larger set makes more automata, each of bounded
@@ -37,30 +37,36 @@ WORDS = 12
 BLOCK_CHARS = 4_000_000
 
 
-def words_of(text: str) -> list[str]:
+def line_of(text: str) -> str:
+    """The words of a text, each with a blank on both sides."""
     # Words are found before they are put in lower case, which may split a letter.
-    return " ".join(WORD.findall(form(text))).lower().split(" ")
+    return f" {' '.join(WORD.findall(form(text)))} ".lower()
+
 
+def words_of(text: str) -> list[str]:
+    return line_of(text).split()
 
-def shingles(items: list[tuple[int, str]], n: int) -> tuple[dict[str, int], dict[tuple[int, ...], list[int]]]:
-    """The number of each word of the items, and per run of n words the items that hold it."""
-    number: dict[str, int] = {}
-    out: dict[tuple[int, ...], set[int]] = {}
-    for item, text in items:
-        w = [number.setdefault(x, len(number) + 1) for x in words_of(text)]
-        for i in range(len(w) - n + 1):
-            out.setdefault(tuple(w[i : i + n]), set()).add(item)
-    return number, {k: sorted(v) for k, v in out.items()}
+
+def patterns(items: list[tuple[int, str]], n: int) -> tuple[dict[int, list[str]], dict[str, list[tuple[int, int]]]]:
+    """The words of each item, and per pattern the items and places that have it."""
+    size = max(1, n // 2)
+    words = {k: words_of(text) for k, (_, text) in enumerate(items)}
+    out: dict[str, list[tuple[int, int]]] = {}
+    for k, w in words.items():
+        if len(w) >= n:
+            for i in range(0, len(w) - size + 1, n - size + 1):
+                out.setdefault(f" {' '.join(w[i : i + size])} ", []).append((k, i))
+    return words, out
 
 
 @lru_cache(maxsize=4)
-def _automaton(packed: bytes) -> tuple[dict[str, int], ahocorasick.Automaton]:
-    number, runs = pickle.loads(packed)
-    a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for run, ids in runs.items():
-        a.add_word(run, ids)
+def _automaton(packed: bytes) -> tuple[dict[int, int], dict[int, list[str]], ahocorasick.Automaton]:
+    ids, words, found = pickle.loads(packed)
+    a = ahocorasick.Automaton()
+    for pattern, places in found.items():
+        a.add_word(pattern, (len(pattern), places))
     a.make_automaton()
-    return number, a
+    return ids, words, a
 
 
 def blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
@@ -79,55 +85,72 @@ def blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
 
 def _scan(docs: DataFrame, packed, schema: str, spans: bool, n: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, automaton = _automaton(packed.value)
+        ids, words, automaton = _automaton(packed.value)
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                words = words_of(text)
-                hits: dict[int, list[int]] = {}
-                if len(automaton) and len(words) >= n:
-                    for end, ids in automaton.iter(tuple([number.get(w, 0) for w in words])):
-                        for i in ids:
-                            hits.setdefault(i, []).append(end - n + 1)
-                if hits and spans:
-                    out += [(doc, *x) for x in _runs(text, hits, n)]
+                line = line_of(text)
+                hits = [(end - size + 1, places) for end, (size, places) in automaton.iter(line)] if len(automaton) else []
+                runs = _runs(line.split(), hits, words, n) if hits else []
+                if runs and spans:
+                    out += [(doc, *x) for x in _placed(text, [(ids[k], a, b) for k, a, b in runs])]
                 else:
-                    out += [(doc, i) for i in hits]
+                    out += [(doc, i) for i in {ids[k] for k, _, _ in runs}]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return docs.filter("text IS NOT NULL").select("doc_id", "text").mapInPandas(scan, schema)
 
 
-def _runs(text: str, hits: dict[int, list[int]], n: int):
-    """Merge overlapping hits of an item to runs: item, words, start and end in the text."""
+def _runs(have: list[str], hits, words: dict[int, list[str]], n: int) -> list[tuple[int, int, int]]:
+    """(item, first word, end) of the longest runs of n or more words that go through the hits."""
+    number, at = {}, 0
+    for k, w in enumerate(have):
+        number[at] = k
+        at += len(w) + 1
+    out: set[tuple[int, int, int]] = set()
+    seen: dict[tuple[int, int], int] = {}
+    for pos, places in hits:
+        p = number[pos]
+        for item, i in places:
+            # A hit within a run that was followed on the same diagonal is part of it.
+            if p < seen.get((item, p - i), 0):
+                continue
+            own = words[item]
+            a, b = 0, 0
+            while p - a > 0 and i - a > 0 and have[p - a - 1] == own[i - a - 1]:
+                a += 1
+            while p + b < len(have) and i + b < len(own) and have[p + b] == own[i + b]:
+                b += 1
+            seen[item, p - i] = p + b
+            if a + b >= n:
+                out.add((item, p - a, p + b))
+    # Where an item has a passage twice, the longest run at a place counts.
+    return sorted(r for r in out if not any(r != q and q[0] == r[0] and q[1] <= r[1] and r[2] <= q[2] for q in out))
+
+
+def _placed(text: str, runs: list[tuple[int, int, int]]):
+    """Item, number of words, start and end in the text of each run."""
     f, starts, ends = form_offsets(text)
     places = [m.span() for m in WORD.finditer(f)]
-    for item, first in sorted(hits.items()):
-        runs = []
-        for k in sorted(set(first)):
-            if runs and k <= runs[-1][1] - n + 1:
-                runs[-1][1] = k + n
-            else:
-                runs.append([k, k + n])
-        for a, b in runs:
-            yield item, b - a, starts[places[a][0]], ends[places[b - 1][1] - 1]
+    for item, a, b in runs:
+        yield item, b - a, starts[places[a][0]], ends[places[b - 1][1] - 1]
 
 
 def _all(docs: DataFrame, items: DataFrame, schema: str, spans: bool, words: int, block_chars: int) -> DataFrame:
     spark = docs.sparkSession
-    out = None
+    out, several = None, False
     for block in blocks(items, block_chars):
-        packed = spark.sparkContext.broadcast(pickle.dumps(shingles(block, words)))
+        packed = spark.sparkContext.broadcast(pickle.dumps(({k: i for k, (i, _) in enumerate(block)}, *patterns(block, words))))
         part = _scan(docs, packed, schema, spans, words)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], ", ".join(schema.split(", "))) if out is None else out
+        out, several = (part, False) if out is None else (out.unionByName(part), True)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    # One id may have texts in two blocks.
+    return out.distinct() if several else out
 
 
 def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id) where the document has `words` consecutive words of the item.
-
-    An item is in one block only, so no pair comes out twice.
-    """
+    """(doc_id, item_id) where the document has `words` consecutive words of the item, each pair once."""
     return _all(docs, items, "doc_id bigint, item_id bigint", False, words, block_chars)
 
 
