@@ -6,6 +6,8 @@ at most six places per term, so the groups are as small as the term list.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +45,18 @@ def score(text: Column, terms: list[str]) -> Column:
 
 def spans(docs: DataFrame, terms: list[str], hits: int = HITS) -> DataFrame:
     """(doc_id, term, n, lo, hi): the first places of each term, 0-based, without overlap."""
-    low = [t.lower() for t in terms if len(t) >= SHORTEST]
-    t = docs.filter("text IS NOT NULL").select("doc_id", F.lower("text").alias("low"), F.explode(F.array(*map(F.lit, low))).alias("term"))
-    parts = F.split("low", F.concat(F.lit(r"\Q"), F.col("term"), F.lit(r"\E")), hits + 1)
-    starts = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.length(F.call_function("array_join", F.slice("p", F.lit(1), i), F.col("term"))))
-    return (
-        t.filter(F.contains("low", "term")).select("doc_id", "term", parts.alias("p")).filter("size(p) > 1")
-        .select("doc_id", "term", F.posexplode(starts).alias("n", "lo"))
-        .select("doc_id", "term", "n", "lo", (F.col("lo") + F.length("term")).alias("hi"))
-    )
+    wanted = [t.lower() for t in terms if len(t) >= SHORTEST]
+    low = docs.filter("text IS NOT NULL").select("doc_id", F.lower("text").alias("low"))
+    # One row per text holds the places of all terms; the text is not copied for each.
+    split = low.select("doc_id", *[F.when(F.contains("low", F.lit(t)), F.split("low", re.escape(t), hits + 1)).alias(f"p{k}") for k, t in enumerate(wanted)])
+
+    def places(k: int, term: str) -> Column:
+        start = lambda i: F.length(F.array_join(F.slice(f"p{k}", F.lit(1), i), term))
+        found = F.transform(F.sequence(F.lit(1), F.size(f"p{k}") - 1), lambda i: F.struct(F.lit(term).alias("term"), (i - 1).alias("n"), start(i).alias("lo")))
+        return F.when(F.col(f"p{k}").isNotNull(), found).otherwise(F.array().cast("array<struct<term:string,n:int,lo:int>>"))
+
+    rows = split.select("doc_id", F.explode(F.concat(*[places(k, t) for k, t in enumerate(wanted)])).alias("p")).select("doc_id", "p.*")
+    return rows.withColumn("hi", F.col("lo") + F.length("term"))
 
 
 def merged(rows: DataFrame, key: str = "doc_id") -> DataFrame:
