@@ -21,15 +21,15 @@ def ranked(rows: DataFrame, by: str, *order: Column, name: str = "rn") -> DataFr
     Rows are spread by ranges of (group, order); a row's number is its number within the range, which is
     sorted by itself, and the rows of the group in the ranges before.
     """
-    spread = stored(rows.repartitionByRange(by, *order).withColumn("part", F.spark_partition_id()))
-    sizes = spread.groupBy(by, "part").agg(F.count("*").alias("held"))
+    spread = stored(rows.repartitionByRange(by, *order).withColumn("part__", F.spark_partition_id()))
+    sizes = spread.groupBy(F.col(by).alias("group__"), F.col("part__").alias("range__")).agg(F.count("*").alias("held__"))
     # As many rows as the group has ranges.
-    before = F.coalesce(F.sum("held").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col(by).alias("group_"), F.col("part").alias("part_"), before.alias("before_"))
-    numbered = spread.withColumn("own_", F.row_number().over(Window.partitionBy(by, "part").orderBy(*order)))
+    before = F.sum("held__").over(Window.partitionBy("group__").orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("group__", "range__", F.coalesce(before, F.lit(0)).alias("before__"))
+    numbered = spread.withColumn("own__", F.row_number().over(Window.partitionBy(by, "part__").orderBy(*order)))
     return (
-        numbered.join(sizes, F.col(by).eqNullSafe(F.col("group_")) & (F.col("part") == F.col("part_")))
-        .select(*rows.columns, (F.col("own_") + F.col("before_")).cast("int").alias(name))
+        numbered.join(sizes, F.col(by).eqNullSafe(F.col("group__")) & (F.col("part__") == F.col("range__")))
+        .select(*rows.columns, (F.col("own__") + F.col("before__")).cast("int").alias(name))
     )
 
 
