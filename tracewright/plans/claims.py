@@ -200,16 +200,16 @@ def uncertainty_order(spark: SparkSession, d: str) -> DataFrame:
     return h.withColumn("rn", F.row_number().over(w)).filter("rn <= 20")
 
 
-WORDS = r"list_distinct(list_filter(string_split_regex(lower(coalesce(claim, '')), '[ ]+'), lambda x: length(x) > 3))"
+WORDS = f"list_distinct(list_filter(string_split_regex(lower(coalesce(claim, '')), '[ ]+'), lambda x: length(x) > 3 AND NOT list_contains({_list(claims.STOP)}, x)))"
 
 
 @query(f"""WITH h AS (SELECT case_id, id, min(claim) AS claim, max(confidence) AS confidence FROM hypotheses GROUP BY 1, 2),
     k AS (SELECT case_id, id, confidence, unnest({WORDS}) AS word FROM h), c AS (SELECT word, count(DISTINCT case_id) AS n_cases, avg(confidence::DECIMAL(9,4)::DOUBLE) AS m, count(*) AS n FROM k GROUP BY word)
     SELECT word, n_cases, n FROM c WHERE n_cases >= 2""")
 def word_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Words of claims that come up in several cases."""
+    """Words of claims, stop words left out, that come up in several cases."""
     h = table(spark, d, "hypotheses").groupBy("case_id", "id").agg(F.min("claim").alias("claim"))
-    word = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("claim", F.lit(""))), "[ ]+"), lambda x: F.length(x) > 3))
+    word = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("claim", F.lit(""))), "[ ]+"), lambda x: (F.length(x) > 3) & ~x.isin(claims.STOP)))
     return (
         h.select("case_id", "id", F.explode(word).alias("word")).groupBy("word")
         .agg(F.count_distinct("case_id").alias("n_cases"), F.count("*").alias("n")).filter("n_cases >= 2")

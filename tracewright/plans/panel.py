@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators import panel
 from tracewright.plans.registry import Registry
-from tracewright.session import table
+from tracewright.session import shared_folder, table
+from tracewright.sources import filed
 
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
@@ -46,6 +49,20 @@ FACTS = """bq AS (SELECT c_nationkey AS entity, year(o_orderdate) AS y, quarter(
     quarters AS (SELECT * FROM full_q UNION ALL SELECT * FROM q4)"""
 
 
+_SPANS = ", ".join(f"('{n}', {a}, {b})" for n, a, b in SPANS)
+
+
+@query(f"""WITH {FACTS}, s AS (SELECT * FROM (VALUES {_SPANS}) t(fp, a, b)),
+    f AS (SELECT entity, y, fp, a, b, sum(val) AS val FROM bq JOIN s ON q * 3 BETWEEN a AND b AND (fp <> 'Q4' OR y % 2 = 1) GROUP BY ALL HAVING count(*) * 3 = b - a + 1)
+    SELECT entity::VARCHAR AS entity, 'Revenues' AS tag, make_date(y, a, 1)::VARCHAR AS start, last_day(make_date(y, b, 1))::VARCHAR AS "end", val::DOUBLE AS val,
+    CASE WHEN fp = 'FY' THEN '10-K' ELSE '10-Q' END AS form, fp FROM f""")
+def facts_copy(spark: SparkSession, d: str) -> DataFrame:
+    """Facts written as company-facts JSON, one object a company, and read back."""
+    path = f"{shared_folder(spark)}/facts/{uuid.uuid4().hex}"
+    filed.write_company_facts(order_facts(spark, d), path)
+    return _days(filed.read_company_facts(spark, path, lines=True)).drop("seq")
+
+
 def _days(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("start", "end", "prior_end") if c in df.columns})
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.records import extract_json, widest_object
 from tracewright.plans.registry import Registry
-from tracewright.session import table
+from tracewright.session import shared_folder, table
+from tracewright.sources import filed
 
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
@@ -35,6 +38,14 @@ def run_records(spark: SparkSession, d: str) -> DataFrame:
     return runs(spark, d).drop("overrides")
 
 
+@query(f"WITH {RUNS} SELECT series, run, n_findings, accuracy, stop_reason FROM runs")
+def runs_copy(spark: SparkSession, d: str) -> DataFrame:
+    """Run records written as JSON and read back."""
+    path = f"{shared_folder(spark)}/runs/{uuid.uuid4().hex}"
+    filed.write_runs(run_records(spark, d), path)
+    return filed.read_runs(spark, path, "series string, run bigint, n_findings double, accuracy double, stop_reason string", lines=True)
+
+
 @query(f"""WITH {RUNS} SELECT series, count(*) AS n_runs, round(avg(n_findings), 6) AS mean, min(n_findings) AS low, max(n_findings) AS high, round(stddev_samp(n_findings), 6) AS stdev,
     round(avg(accuracy), 6) AS accuracy FROM runs GROUP BY series""")
 def run_distribution(spark: SparkSession, d: str) -> DataFrame:

@@ -17,21 +17,31 @@ def _rows(df: DataFrame, unit: str) -> DataFrame:
     )
 
 
-def read_company_facts(spark: SparkSession, path: str, taxonomy: str = "us-gaap", unit: str = "USD") -> DataFrame:
-    """(entity, tag, start, end, val, form, fp, seq) of company-facts files."""
-    raw = spark.read.schema(FACTS).option("multiLine", True).json(path)
+def read_company_facts(spark: SparkSession, path: str, taxonomy: str = "us-gaap", unit: str = "USD", lines: bool = False) -> DataFrame:
+    """(entity, tag, start, end, val, form, fp, seq) of company-facts files, one object a file or with `lines` one a line."""
+    raw = spark.read.schema(FACTS).option("multiLine", not lines).json(path)
     tags = raw.select(F.coalesce("entityName", "cik").alias("entity"), F.explode(F.col("facts")[taxonomy]).alias("tag", "t"))
     return _rows(tags.select("entity", "tag", F.col("t.units").alias("units")), unit)
 
 
+def write_company_facts(facts: DataFrame, path: str, taxonomy: str = "us-gaap", unit: str = "USD") -> None:
+    """Facts (entity, tag, start, end, val, form, fp, seq) as one company-facts object a line."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    fact = F.struct("seq", day("start"), day("end"), F.col("val").cast("double").alias("val"), "form", "fp")
+    tags = facts.groupBy("entity", "tag").agg(F.transform(F.sort_array(F.collect_list(fact)), lambda f: f.dropFields("seq")).alias("rows"))
+    units = F.struct(F.create_map(F.lit(unit), F.col("rows")).alias("units"))
+    companies = tags.groupBy(F.col("entity").cast("string").alias("cik")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("tag"), units))).alias("tags"))
+    companies.select("cik", F.col("cik").alias("entityName"), F.create_map(F.lit(taxonomy), F.col("tags")).alias("facts")).write.mode("overwrite").json(path)
+
+
 def read_concept(spark: SparkSession, path: str, unit: str = "USD") -> DataFrame:
     """The same for files of a single concept."""
     return _rows(spark.read.schema(CONCEPT).option("multiLine", True).json(path).withColumnRenamed("cik", "entity"), unit)
 
 
-def read_runs(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Run or score records, one JSON document a file; the schema is inferred unless given."""
-    reader = spark.read.option("multiLine", True)
+def read_runs(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Run or score records, one JSON document a file or with `lines` one a line; the schema is inferred unless given."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
