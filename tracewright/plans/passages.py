@@ -83,7 +83,17 @@ def passage_fill(spark: SparkSession, d: str) -> DataFrame:
     return passages.filled(texts(spark, d), TERMS, BUDGET, WINDOW, HEAD)
 
 
-@query()
+@query(f"""WITH f AS ({SQL['passage_fill']}),
+    g AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM f),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM g),
+    m AS (SELECT doc_id, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY doc_id, island),
+    x AS (SELECT *, lo - coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS gap FROM m),
+    p AS (SELECT doc_id, string_agg(CASE WHEN gap > 0 THEN chr(10) || '[... ' || format('{{:,}}', gap) || ' characters omitted ...]' || chr(10) ELSE '' END || substring(text, lo + 1, hi - lo), '' ORDER BY lo) AS body,
+        any_value(length(text)) - max(hi) AS rest FROM x JOIN documents USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN length(text) <= {BUDGET} THEN 'full' WHEN body IS NULL THEN 'head' ELSE 'windows' END AS mode,
+    CASE WHEN length(text) <= {BUDGET} THEN text WHEN body IS NULL THEN left(text, {BUDGET})
+    ELSE body || CASE WHEN rest > 0 THEN chr(10) || '[... ' || format('{{:,}}', rest) || ' characters omitted ...]' || chr(10) ELSE '' END END AS excerpt
+    FROM documents LEFT JOIN p USING (doc_id) WHERE text IS NOT NULL""")
 def passage_excerpts(spark: SparkSession, d: str) -> DataFrame:
     """The excerpt of every text."""
     return passages.excerpts(texts(spark, d), TERMS, BUDGET, WINDOW, HEAD)
