@@ -59,34 +59,36 @@ def records(raw: DataFrame, nested: str = "counts") -> DataFrame:
 KINDS = {"BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
 
 
-def kinds(entries: Column) -> Column:
-    """(field, type) of each entry: number, string, boolean, array or object; NULL of a null."""
-    named = F.transform(entries, lambda e: F.struct(e["key"].alias("field"), F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0).alias("name")))
+def shape(value: Column) -> Column:
+    """The name of a value's type, without what it consists of."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "(", 1), "<", 1)
+
+
+def kind(name: Column) -> Column:
+    """number, string, boolean, array or object; NULL of a null."""
     known = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    return F.transform(named, lambda e: F.struct(e["field"].alias("field"), F.try_element_at(known, e["name"]).alias("type")))
+    return F.try_element_at(known, name)
 
 
 def plain(entries: Column) -> Column:
     """(field, type, value) of each entry; values are spelled alike if they are equal: 1, 1.0 and 1e0 are one number."""
-    shape = F.transform(entries, lambda e: F.struct(
-        e["key"].alias("key"), F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0).alias("name"), e["value"].try_cast("string").alias("text")
-    ))
-    exact = F.transform(shape, lambda e: F.struct(
+    named = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), shape(e["value"]).alias("name"), e["value"].try_cast("string").alias("text")))
+    exact = F.transform(named, lambda e: F.struct(
         e["key"].alias("key"), e["name"].alias("name"),
         F.when(e["name"] == "DOUBLE", F.coalesce(e["text"].try_cast("decimal(38,18)").cast("string"), e["text"])).otherwise(e["text"]).alias("text"),
     ))
     # Texts of arrays and objects have their keys in order and decimals without zeros at the end.
     fraction = lambda e: e["name"].isin("DECIMAL", "DOUBLE", "FLOAT") & F.contains(e["text"], F.lit("."))
-    known = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     return F.transform(exact, lambda e: F.struct(
-        e["key"].alias("field"), F.try_element_at(known, e["name"]).alias("type"),
+        e["key"].alias("field"), kind(e["name"]).alias("type"),
         F.when(fraction(e), F.rtrim(F.rtrim(e["text"], F.lit("0")), F.lit("."))).otherwise(e["text"]).alias("value"),
     ))
 
 
 def schemas(recs: DataFrame) -> DataFrame:
     """One row per file: its fields, each with the types it has."""
-    types = recs.select("bench_file", F.inline(kinds(F.col("entries")))).groupBy("bench_file", "field").agg(F.sort_array(F.collect_set("type")).alias("types"))
+    each = recs.select("bench_file", F.inline("entries")).select("bench_file", F.col("key").alias("field"), kind(shape(F.col("value"))).alias("type"))
+    types = each.groupBy("bench_file", "field").agg(F.sort_array(F.collect_set("type")).alias("types"))
     return types.groupBy("bench_file").agg(F.map_from_entries(F.collect_list(F.struct("field", "types"))).alias("fields"))
 
 
