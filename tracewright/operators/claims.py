@@ -148,7 +148,8 @@ def stable(findings: DataFrame, overlap: int = 4) -> DataFrame:
     """Findings of several runs (run, n, title, confidence) in clusters of like titles: (leader, runs, mean).
 
     A finding joins the first cluster whose first member shares `overlap` words with it. Titles meet by their
-    rarest words, of which those with enough words in common share one.
+    rarest words, of which those with enough words in common share one. Meant for the findings of runs, of
+    which there are few: titles of one template all pair up with each other.
     """
     word = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"\s+"), lambda w: (F.length(w) > 3) & ~w.isin(STOP)))
     rows = findings.select(F.lit("").alias("scope"), F.format_string("%012d-%06d", "run", "n").alias("id"), "run", "confidence", word.alias("words"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import occurrences
+from tracewright.operators.events import top_k
 from tracewright.operators.ranks import ranked
 
 HEAD, WINDOW, BUDGET, HITS, SHORTEST = 1500, 2600, 40000, 6, 4
@@ -106,6 +107,11 @@ def excerpts(docs: DataFrame, terms: list[str], budget: int = BUDGET, window: in
     )
 
 
+def best(docs: DataFrame, terms: list[str], by: str, k: int) -> DataFrame:
+    """(doc_id, by, score, rn): the k first documents of each group, ties by id; Spark drops lower ranks before the shuffle."""
+    return top_k(docs.select("doc_id", by, score(F.col("text"), terms).alias("score")), by, k, F.desc("score"), F.col("doc_id"))
+
+
 def scored(docs: DataFrame, terms: list[str], by: str) -> DataFrame:
     """(doc_id, by, score, rn): rank of each document within its group, ties by id."""
     return ranked(docs.select("doc_id", by, score(F.col("text"), terms).alias("score")), by, F.desc("score"), F.col("doc_id"))

@@ -175,16 +175,6 @@ def hypothesis_board(spark: SparkSession, d: str) -> DataFrame:
     return ranked(rows, "case_id", place, F.desc(F.coalesce("confidence", F.lit(-1.0))), F.col("id"), F.col("n_against")).drop("n_against")
 
 
-@query()
-def finding_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Claims of all cases in clusters of like words, each case taken as a run: in how many a cluster comes up."""
-    h = table(spark, d, "hypotheses").groupBy("case_id", "id").agg(F.min("claim").alias("title"), F.max("confidence").alias("confidence"))
-    # Numbers of cases and claims: their place among all in the order of their ids.
-    numbered = ranked(h.withColumn("all_", F.lit(0)), "all_", F.col("case_id"), F.col("id"), name="n")
-    first = numbered.groupBy("case_id").agg(F.min("n").alias("run"))
-    return claims.stable(numbered.join(first, "case_id").select("run", "n", "title", "confidence"))
-
-
 @query()
 def merged_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of merged claims, each id once, in order."""

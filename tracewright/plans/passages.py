@@ -24,7 +24,7 @@ SCORES = f"s AS (SELECT doc_id, source, {SCORE} AS score FROM documents), r AS (
 @query(f"WITH {SCORES} SELECT doc_id, source, score::BIGINT AS score, rn::INT AS rn FROM r WHERE rn <= 8 AND score > 0")
 def doc_relevance_topk(spark: SparkSession, d: str) -> DataFrame:
     """The eight most relevant documents of each source."""
-    return passages.scored(texts(spark, d), TERMS, "source").filter("rn <= 8 AND score > 0")
+    return passages.best(texts(spark, d), TERMS, "source", 8).filter("score > 0")
 
 
 @query(f"WITH {SCORES} SELECT doc_id, source, rn <= 8 AS top FROM r WHERE rn <= 8 OR (rn - 9) % 7 = 0")
