@@ -179,6 +179,25 @@ def test_repeated_statements_each_have_their_place(spark, tmp_path):
     assert sorted(tuple(r) for r in ledger.trailing_rate(spark, str(tmp_path)).collect()) == lows
 
 
+def test_facts_come_from_one_scan(spark):
+    deal = "Ulmo Harbor LLC handed over 1,200 preferred units against an open fee of $45,000, which the board priced at $1.25 each"
+    share = "Ulmo Harbor LLC and Fenn Works Inc. together made up 31.5% of quarterly income, against 28.0%"
+    cut = "Restated income for fiscal 2021 fell by $5,000 to $7,000, after Fenn Works Inc. was taken out of the count"
+    docs = spark.createDataFrame([("a", f"{deal}. {share}.\n{deal}; {cut}.", 1, "x"), ("b", None, 1, "x"), ("c", "", 1, "x"), ("d", f"together {cut}", 1, "x")], "file string, text string, k int, kind string")
+    got = sorted((r.file, r.kind, r.k, r.party, r.other, r.amount, r.low, r.year) for r in extract.facts(docs).collect())
+    assert got == sorted([
+        ("a", "equity", 0, "Ulmo Harbor LLC", None, 45000.0, None, None), ("a", "equity", 1, "Ulmo Harbor LLC", None, 45000.0, None, None),
+        ("a", "concentration", 0, "Ulmo Harbor LLC", "Fenn Works Inc.", None, None, None),
+        *[(f, "restated", 0, "Fenn Works Inc.", None, 5000.0, 7000.0, "2021") for f in "ad"],
+    ], key=lambda r: r[:3])
+    flat = docs.select("file", "text")
+    one = extract.scan(flat, {"equity": extract.FILINGS["equity"]}, extract.WORDS).select("file", "k", "start", "m")
+    assert one.exceptAll(extract.matches(flat, extract.FILINGS["equity"], {}).select("file", "k", "start", "m")).count() == 0 and one.count() == 2
+    assert extract.facts(docs.limit(0)).count() == 0
+    r = ledger.against_reported(extract.facts(docs)).first()
+    assert (r.year, r.reported, r.excluded_total, r.n_excluded, r.residual, r.equity_share) == ("2021", 12000.0, 5000.0, 1, 12000.0, 0.0)
+
+
 def test_quote(spark):
     t = "First one. Second with 5,000 units; and more. Third."
     at = lambda t, x: (t, t.index(x), t.index(x) + len(x))
