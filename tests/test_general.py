@@ -227,6 +227,6 @@ def test_values_equal_as_numbers(spark, a, b, same):
     assert ((got[0].type, got[0].value) == (got[1].type, got[1].value)) == same
 
 
-@pytest.mark.parametrize("raw", ['{"a":1} x', '{"a":1}}', '{"a":1}] ', '{"a":1}, {"b":2}', "[1]", "", None, '{"a":1,}', '{"a":1,"a":2}', "1"])
+@pytest.mark.parametrize("raw", ['{"a":1} x', '{"a":1}}', '{"a":1}] ', '{"a":1}, {"b":2}', "[1]", "", None, '{"a":1,}', '{"a":1,"a":2}', "1", '{"a":1},2', '{"a":1}, "x"] ', "{}{}", '"{}"'])
 def test_what_is_no_object(spark, raw):
     assert drift.records(spark.createDataFrame([("f", "s", None, 1, raw, "q")], RAW)).count() == 0

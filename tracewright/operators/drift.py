@@ -42,13 +42,11 @@ def records(raw: DataFrame, nested: str = "counts") -> DataFrame:
 
     The entries are the top-level keys and, as `nested.key`, those inside one of them.
     """
-    # The parser stops at the end of a value; what else may follow breaks one of the two frames.
-    framed = raw.select(
-        "bench_file", "line_no", F.try_parse_json(F.concat(F.lit("["), "raw", F.lit("]"))).alias("list"),
-        F.try_parse_json(F.concat(F.lit('{"o":'), "raw", F.lit("}"))).alias("field"),
-    )
-    single = F.startswith(F.schema_of_variant("list"), F.lit("ARRAY<OBJECT<")) & F.try_variant_get("list", "$[1]", "variant").isNull() & F.col("field").isNotNull()
-    objects = stored(framed.select("bench_file", "line_no", F.when(single, F.try_variant_get("field", "$.o", "variant")).alias("o"))).filter("o IS NOT NULL")
+    # The parser stops at the end of a value; if anything else follows, the mark is not the list's second item.
+    framed = raw.select("bench_file", "line_no", F.try_parse_json(F.concat(F.lit("["), "raw", F.lit(f',"{END}"]'))).alias("list"))
+    single = F.startswith(F.schema_of_variant("list"), F.lit("ARRAY<")) & (F.try_variant_get("list", "$[1]", "string") == END)
+    first = framed.select("bench_file", "line_no", F.when(single, F.try_variant_get("list", "$[0]", "variant")).alias("o"))
+    objects = stored(first).filter("o IS NOT NULL").filter(F.startswith(F.schema_of_variant("o"), F.lit("OBJECT<")))
     inner = F.map_entries(F.try_variant_get("o", f"$.{nested}", "map<string,variant>"))
     named = F.transform(inner, lambda e: F.struct(F.concat(F.lit(f"{nested}."), e["key"]).alias("key"), e["value"].alias("value")))
     every = F.concat(F.map_entries(F.col("o").try_cast("map<string,variant>")), F.coalesce(named, F.array().cast("array<struct<key:string,value:variant>>")))
@@ -56,6 +54,7 @@ def records(raw: DataFrame, nested: str = "counts") -> DataFrame:
     return objects.select("bench_file", "line_no", plain(run)[0]["value"].alias("run"), every.alias("entries"))
 
 
+END = "end of record 5b0c9c1e"
 KINDS = {"BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
 
 
