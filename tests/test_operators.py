@@ -1,8 +1,10 @@
 """Operators of the core against brute force and on hand-made fixtures."""
 
 import json
+import math
 import random
 import re
+from collections import Counter
 from datetime import date
 from difflib import SequenceMatcher
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import records
 from tracewright.functions import text as T
-from tracewright.operators import claims, extract, panel, passages, verify
+from tracewright.operators import bands, claims, extract, panel, passages, verify
 from tracewright.operators.bands import band_pairs
 from tracewright.plans import ledger
 from tracewright.plans import verify as checks
@@ -232,6 +234,26 @@ def test_band_pairs(spark, tolerance):
     ok = [(k, v) for k, v in rows if v and v > 0]
     assert got == {(a, b) for a, v in ok for b, w in ok if v < w and w - v <= v * tolerance}
 
+def test_band_pairs_of_repeated_values(spark, monkeypatch):
+    """All pairs of keys come out, of repeated, absent and endless values too, with buckets in one piece and split."""
+    r = random.Random(4)
+    vals = [900 + r.randrange(60) / 10 for _ in range(400)] + [903.0] * 300 + [math.inf, math.nan, -1.0, 0.0, None]
+    rows = [(f"k{i}", v) for i, v in enumerate(vals)] + [(None, 903.0), ("k0", vals[0])]
+    ok = [(k, v) for k, v in rows if v and 0 < v < math.inf]
+    want = Counter((a, b, v, w) for a, v in ok for b, w in ok if v < w and w - v <= v * 0.001)
+    df = spark.createDataFrame(rows, "k string, v double")
+    for limits in ((64, 1 << 23, 1 << 24), (3, 500, 2000)):
+        for name, x in zip(("LIST", "BLOCK", "TASK"), limits):
+            monkeypatch.setattr(bands, name, x)
+        assert Counter(tuple(x) for x in band_pairs(df, "v", "k", 0.001).collect()) == want
+
+
+def test_band_pairs_are_spread(spark):
+    """Pairs of few keys, which are many all the same, are made by all tasks."""
+    rows = spark.range(2000).select(F.col("id").alias("k"), (900 + F.col("id") % 1000 / 10).alias("v"))
+    by = [x["count"] for x in band_pairs(rows, "v", "k", 0.001).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by) == 35820 and max(by) < 0.4 * sum(by)
+
 
 # Panel
 
